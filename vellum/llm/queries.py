@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.llm import quality_rules
+import public_tokenizers
+
+from vellum.llm import bpe_scan, quality_rules
 from vellum.llm.common import table
 
 QUERIES: dict = {}
@@ -50,3 +52,10 @@ figures as (
 select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost_chars <= 50 * word_chars as kept
 from figures"""
+
+
+def op10_byte_bpe(spark, sf_dir):
+    return bpe_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES["op10_byte_bpe"] = op10_byte_bpe
