@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vellum.llm import bpe_scan, quality_rules
+from vellum.llm import bpe_scan, packing, quality_rules
 from vellum.llm.common import table
 
 QUERIES: dict = {}
@@ -59,3 +59,10 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES["op10_byte_bpe"] = op10_byte_bpe
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op5_packing"] = op5_packing
