@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vellum.llm import bpe_scan, packing, quality_rules
+from vellum.llm import bpe_scan, packing, quality_rules, simhash_tiles
 from vellum.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,10 @@ def op5_packing(spark, sf_dir):
 
 
 QUERIES["op5_packing"] = op5_packing
+
+
+def op9_simhash(spark, sf_dir):
+    return simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_simhash"] = op9_simhash
