@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from vellum.llm import bpe_scan, packing, quality_rules, simhash_tiles
-from vellum.llm.common import table
+from vellum.llm import bpe_scan, language_id, packing, quality_rules, simhash_tiles
+from vellum.llm.common import crc_mod, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -73,3 +74,12 @@ def op9_simhash(spark, sf_dir):
 
 
 QUERIES["op9_simhash"] = op9_simhash
+
+
+def op4_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.learnable(documents))
+    return language_id.identify(documents, model).withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
+
+
+QUERIES["op4_language_id"] = op4_language_id
