@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_scan, language_id, packing, quality_rules, simhash_tiles
+from vellum.llm import bpe_scan, language_id, packing, quality_rules, simhash_tiles, toxicity
 from vellum.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -83,3 +83,12 @@ def op4_language_id(spark, sf_dir):
 
 
 QUERIES["op4_language_id"] = op4_language_id
+
+
+def op2_toxicity(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(crc_mod(labels["doc_id"], 5) != 0))
+    return toxicity.score(documents, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+
+
+QUERIES["op2_toxicity"] = op2_toxicity
