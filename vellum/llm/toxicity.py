@@ -12,9 +12,9 @@ clause one after the other, and are composed into one machine whose states are m
 A clause has one score for each kind of event, the largest weight of it; isolated words never score by themselves. A text's
 features are the sums over its clauses, and a logistic model turns them into the score.
 
-Fitting reads at most ``rows_per_label`` labelled rows of either label, chosen by a hash of the id, exact copies once. Insult words and
-stems (prefixes) are those far more frequent in texts of label 1 than chance allows; of these a greedy cover keeps the ones that explain
-texts which no other has explained, so words that merely share a text with an insult are left out.
+Fitting reads at most ``rows_per_label`` labelled rows of either label, chosen by a hash of the id. Of copies and near copies, told by the
+least hashes of their shingles, one is used. Insult words and stems (prefixes) are those far more frequent in texts of label 1 than chance
+allows. The logistic model is fitted to features measured with words learned from the other half of the sample.
 
 Defined results: null and empty texts have no clause and get the score of no event; so does every text if nothing was learned. Copies
 score alike; rows that repeat an id are scored one by one; null labels are not learned from; extra columns are ignored; an empty table
@@ -46,10 +46,10 @@ WORDS = {
     REPORT: "said says say called calls wrote told quoted sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó",
 }
 REACH = 3
-STEM = (4, 5, 6)
+STEM = (4, 5, 6, 7, 8)
 EVENTS = ("plain", "targeted", "negated", "reported", "threat")
-#: Least evidence for an insult, in nats, and least number of texts that only it explains.
-EVIDENCE, GAIN = 9.0, 3
+#: Least evidence for an insult, in nats, and least number of texts of label 1 with it.
+EVIDENCE, LEAST_TEXTS = 10.0, 4
 CACHE_WORDS = 300_000
 
 
@@ -190,69 +190,94 @@ def items(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM if len(w) > n}
 
 
-def cover(rows: list[tuple[int, list[str]]], evidence: dict[str, float], gain: int = GAIN) -> list[str]:
-    """Items that explain texts of label 1, each at least ``gain`` more of them than of label 0 beyond those taken before it."""
-    has: dict[str, tuple[set, int]] = {}
-    for i, (label, own) in enumerate(rows):
-        for x in own:
-            ones, zeros = has.get(x, (set(), 0))
-            has[x] = (ones | {i} if label else ones, zeros + (not label))
-    taken: list[str] = []
-    left = {i for i, (label, _) in enumerate(rows) if label}
-    while has:
-        best = max(has, key=lambda x: (len(has[x][0] & left) - 2 * has[x][1], evidence[x], x))
-        if len(has[best][0] & left) - 2 * has[best][1] < gain:
-            return taken
-        left -= has.pop(best)[0]
-        taken.append(best)
-    return taken
-
-
-def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows_per_label: int = 5000, candidates: int = 3000) -> Model:
-    """``labels`` has the ids and labels to learn from, and at most ``2 * rows_per_label`` of its rows are used."""
+def shingle_minima(text: str | None, width: int = 3, seeds: int = 4) -> list[int]:
+    """Least hashes of the text's word shingles, by which copies and near copies are told."""
+    import xxhash
+
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64)
+    odd = np.arange(seeds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    mixed = (hashes[:, None] ^ (hashes[:, None] >> np.uint64(29))) * odd
+    return [int(x) for x in (mixed ^ (mixed >> np.uint64(32))).min(axis=0).view(np.int64)]
+
+
+def one_of_each(rows: list[tuple[int, int, list[int]]]) -> set[int]:
+    """Of (id, label, minima), the ids of the first row of each group that shares a least hash at a place, directly or not."""
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    first: dict[tuple[int, int], int] = {}
+    for i, (_, _, own) in enumerate(rows):
+        for key in enumerate(own):
+            j = root(first.setdefault(key, i))
+            parent[max(j, root(i))] = min(j, root(i))
+    return {x for i, (x, _, _) in enumerate(rows) if root(i) == i}
+
+
+def weigh(rows: list, folds: tuple[int, ...], ones: int, zeros: int) -> dict[str, float]:
+    """Log odds of the items whose evidence in those folds is enough; rows have item, a0, b0, a1, b1. A stem that one word makes up is left out."""
+    base, out, single = ones / max(1, ones + zeros), {}, Counter()
+    for r in rows:
+        if not r["item"].endswith("*"):
+            for n in STEM:
+                single[r["item"][:n] + "*"] = max(single[r["item"][:n] + "*"], sum(r[f"a{k}"] for k in folds))
+    for r in rows:
+        a, b = sum(r[f"a{k}"] for k in folds), sum(r[f"b{k}"] for k in folds)
+        if 10 * single[r["item"]] >= 9 * a:
+            continue
+        if a >= LEAST_TEXTS and a / (a + b) > base and a * np.log(a / (a + b) / base) + (b * np.log(b / (a + b) / (1 - base)) if b else 0) >= EVIDENCE:
+            out[r["item"]] = float(np.log((a + 0.5) / (ones + 1)) - np.log((b + 0.5) / (zeros + 1)))
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows_per_label: int = 5000, candidates: int = 5000) -> Model:
+    """``labels`` has the ids and labels to learn from, and at most about ``2 * rows_per_label`` of its rows are used."""
     given = labels.select(labels[id_column].alias("id"), labels[label_column].cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     there = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    none = [0.0] * (2 + len(EVENTS))
     if len(there) < 2:
-        return Model({}, np.array([4.0 if there.get(1) else -4.0] + [0.0] * (2 + len(EVENTS))))
+        return Model({}, np.array([4.0 if there.get(1) else -4.0, *none]))
     share = F.when(F.col("y") == 1, F.lit(rows_per_label / there[1])).otherwise(F.lit(rows_per_label / there[0]))
     chosen = given.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30) < share)
-    # At most about 2 * rows_per_label rows of two numbers.
-    sample = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
-    sample = materialise(sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"), F.first("text").alias("text")).select("y", "text"), "labelled")
-    total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    base = total.get(1, 0) / max(1, sum(total.values()))
-    if not 0 < base < 1:
-        return Model({}, np.array([4.0 if base else -4.0] + [0.0] * (2 + len(EVENTS))))
+    # About 2 * rows_per_label rows of two numbers at most are broadcast.
+    sample = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text")).join(F.broadcast(chosen), "id").select(F.xxhash64("id", "text").alias("k"), "y", "text")
+    sample = materialise(sample, "labelled")
+
+    def minima(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_minima(t) for t in texts(part, "text")], pa.list_(pa.int64()))], ["k", "y", "m"])
+
+    rows = sorted((r["k"], r["y"], r["m"]) for r in map_text(sample, "text", minima, "k long, y int, m array<long>").collect())
+    kept = one_of_each(rows)
+    size = Counter((k % 2, y) for k, y, _ in rows if k in kept)
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
-        ones, zeros = Counter(), Counter()
-        for y, text in zip(texts(part, "y"), texts(part, "text")):
-            (ones if y else zeros).update(items(text))
-        every = list(ones | zeros)
-        return pa.RecordBatch.from_pydict({"item": pa.array(every, pa.string()), "a": pa.array([ones[x] for x in every], pa.int64()), "b": pa.array([zeros[x] for x in every], pa.int64())})
-
-    counted = map_text(sample, "text", count, "item string, a long, b long").groupBy("item").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rate = F.col("a") / (F.col("a") + F.col("b"))
-    other = F.when(F.col("b") > 0, F.col("b") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
-    strong = counted.where((F.col("a") >= 4) & (rate > base)).withColumn("evidence", F.col("a") * F.log(rate / base) + other).where(F.col("evidence") >= EVIDENCE)
-    found = strong.orderBy(F.desc("evidence"), "item").limit(candidates).collect()
-    evidence = {r["item"]: r["evidence"] for r in found}
-
-    def present(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = [sorted(items(t) & evidence.keys()) for t in texts(part, "text")]
-        return pa.RecordBatch.from_pydict({"y": part.column(0), "own": pa.array(own, pa.list_(pa.string()))})
-
-    rows = [(r["y"], r["own"]) for r in map_text(sample, "text", present, "y int, own array<string>").where("size(own) > 0").collect()]
-    taken = cover(rows, evidence)
-    odds = {r["item"]: float(np.log((r["a"] + 0.5) / (total[1] + 1)) - np.log((r["b"] + 0.5) / (total[0] + 1))) for r in found}
-    model = Model({x: odds[x] for x in taken})
+        found = {(fold, y): Counter() for fold in (0, 1) for y in (0, 1)}
+        for k, y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, "text")):
+            if k in kept:
+                found[k % 2, y].update(items(text))
+        every = list(set().union(*found.values()))
+        return pa.RecordBatch.from_pydict({"item": pa.array(every, pa.string())} | {f"{'ba'[y]}{fold}": pa.array([found[fold, y][x] for x in every], pa.int64()) for y in (1, 0) for fold in (0, 1)})
+
+    counted = map_text(sample, "text", count, "item string, a0 long, a1 long, b0 long, b1 long").groupBy("item").agg(*(F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1")))
+    ones, zeros = (sum(n for (_, y), n in size.items() if y == k) for k in (1, 0))
+    if not ones or not zeros:
+        return Model({}, np.array([4.0 if ones else -4.0, *none]))
+    a, b = F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1")
+    found = counted.where((a >= LEAST_TEXTS) & (a * zeros > 2 * b * ones)).orderBy(F.desc(a - b * ones / zeros), "item").limit(candidates).collect()
+    halves = [Model(weigh(found, (k,), size[k, 1], size[k, 0])) for k in (0, 1)]
+    model = Model(weigh(found, (0, 1), ones, zeros))
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"y": part.column(0), "x": pa.array([model.features(t) for t in texts(part, "text")], pa.list_(pa.float64()))})
+        # A text is measured with what was learned from the other half.
+        own = [(y, halves[1 - k % 2].features(t)) for k, y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, "text")) if k in kept]
+        return pa.RecordBatch.from_pydict({"y": pa.array([y for y, _ in own], pa.int32()), "x": pa.array([x for _, x in own], pa.list_(pa.float64()))})
 
-    measured = map_text(sample, "text", measure, "y int, x array<double>").groupBy("y", "x").agg(F.count("*").alias("n")).orderBy("y", "x").collect()
-    x, y, n = np.array([r["x"] for r in measured]), np.array([r["y"] for r in measured]), np.array([r["n"] for r in measured])
-    model.coefficients = logistic(np.repeat(x, n, axis=0), np.repeat(y, n))
+    measured = sorted((r["y"], r["x"]) for r in map_text(sample, "text", measure, "y int, x array<double>").collect())
+    model.coefficients = logistic(np.array([x for _, x in measured]), np.array([y for y, _ in measured]))
     return model
 
 
