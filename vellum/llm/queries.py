@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_scan, language_id, packing, quality_rules, simhash_tiles, toxicity
+from vellum.llm import bpe_scan, html_blocks, language_id, packing, quality_rules, simhash_tiles, toxicity
 from vellum.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -92,3 +92,10 @@ def op2_toxicity(spark, sf_dir):
 
 
 QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op8_html_text(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op8_html_text"] = op8_html_text
