@@ -15,6 +15,7 @@ placed in any order; extra columns are ignored; an empty table gives an empty re
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -45,25 +46,55 @@ class WordTokenizer:
 
         self.tokenizer, self.closing, self.limit = Tokenizer.from_file(path), closing, cache
         (self.parting,) = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.closes = np.array([x.endswith("</w>") for x in names])
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes words many at a time, parted by a control character that is a pre-token and a token of its own."""
-        plain = [w for w in words if PARTING.encode() not in w]
-        words = plain + [w for w in words if PARTING.encode() in w]
-        groups = [f" {PARTING} ".join(w.decode() for w in plain[i : i + 512]) + f" {PARTING}" for i in range(0, len(plain), 512)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False))])
-        ends = np.flatnonzero(ids == self.parting)
-        odd = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words[len(plain) :]]
-        count = np.concatenate([np.diff(np.concatenate([[-1], ends])) - 1, np.array([len(x) for x in odd], np.int64)]).astype(np.int64)
-        flat = np.concatenate([ids[ids != self.parting], *(np.array(x, np.uint32) for x in odd)])
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
-        self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, flat])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        """Starts a new generation of known words. Words of the one before are carried over when they occur again."""
+        self.before = getattr(self, "held", ({}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        self.held = ({}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def single(self, word: str) -> bool:
+        """Whether the word is one pre-token for sure: letters only, in the form in which the tokenizer sees it."""
+        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+    def encode_words(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in another order, all their ids in a row, and how many each has. Words are encoded many at a time: those of
+        one pre-token end where an id has the mark of a word's end; others are parted by a control character that is an id of its own."""
+        single, parted, odd = [], [], []
+        for raw in words:
+            word = raw.decode()
+            (single if self.single(word) else odd if PARTING in word else parted).append(word)
+        batch = [" ".join(single[i : i + 512]) for i in range(0, len(single), 512)]
+        own = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *own])
+        count = [np.diff(np.concatenate([[-1], np.flatnonzero(self.closes[ids])]))]
+        batch = [f" {PARTING} ".join(parted[i : i + 512]) + f" {PARTING}" for i in range(0, len(parted), 512)]
+        own = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        more = np.concatenate([np.zeros(0, np.uint32), *own])
+        count.append(np.diff(np.concatenate([[-1], np.flatnonzero(more == self.parting)])) - 1)
+        rest = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in odd]
+        count.append(np.array([len(x) for x in rest], np.int64))
+        return [w.encode() for w in (*single, *parted, *odd)], np.concatenate([ids, more[more != self.parting], *rest]), np.concatenate(count).astype(np.int64)
+
+    def numbers(self, different: list[bytes]) -> np.ndarray:
+        """A number for each word, under which ``held`` has its ids; learns those that are new."""
+        if len(self.held[0]) > self.limit:
+            self.forget()
+        known, flat, begin, count = self.held
+        missing = [x for x in different if x not in known]
+        if missing:
+            old, old_flat, old_begin, old_count = self.before
+            carried = [x for x in missing if x in old]
+            at = np.array([old[x] for x in carried], np.int64)
+            fresh, ids, n = self.encode_words([x for x in missing if x not in old])
+            n = np.concatenate([old_count[at], n])
+            begin = np.concatenate([begin, len(flat) + np.cumsum(n) - n])
+            flat, count = np.concatenate([flat, old_flat[ragged(old_begin[at], old_count[at])], ids]), np.concatenate([count, n])
+            known.update(zip(carried + fresh, range(len(known), len(known) + len(missing))))
+            self.held = (known, flat, begin, count)
+        return np.array([known[x] for x in different], np.int64)
 
     def encode_batch(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's closed by the closing id, and how many each text has."""
@@ -78,18 +109,14 @@ class WordTokenizer:
         offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int64)
         array = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
         coded = array.dictionary_encode()
-        if len(self.known) > self.limit:
-            self.forget()
-        different = coded.dictionary.to_pylist()
-        if new := [x for x in different if x not in self.known]:
-            self.learn(new)
-        number = np.array([self.known[x] for x in different], np.int64)[coded.indices.to_numpy()] if different else np.zeros(0, np.int64)
-        size = self.count[number]
+        number = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        _, flat, begin, count = self.held
+        size = count[number]
         counts = np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(words)])]) + 1
         ids = np.full(int(counts.sum()), self.closing, np.uint32)
         inside = np.ones(len(ids), bool)
         inside[np.cumsum(counts) - 1] = False
-        ids[inside] = self.flat[ragged(self.begin[number], size)]
+        ids[inside] = flat[ragged(begin[number], size)]
         return ids, counts
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_scan, html_blocks, language_id, packing, quality_rules, simhash_tiles, toxicity
+from vellum.llm import bpe_scan, html_blocks, itq_dedup, language_id, packing, quality_rules, simhash_tiles, toxicity
 from vellum.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -99,3 +99,10 @@ def op8_html_text(spark, sf_dir):
 
 
 QUERIES["op8_html_text"] = op8_html_text
+
+
+def op7_embedding_dedup(spark, sf_dir):
+    return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op7_embedding_dedup"] = op7_embedding_dedup
