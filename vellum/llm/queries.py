@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_scan, html_blocks, itq_dedup, language_id, packing, quality_rules, simhash_tiles, toxicity
+from vellum.llm import bpe_scan, html_blocks, itq_dedup, language_id, packing, quality_rules, simhash_tiles, toxicity, warc_bundles
 from vellum.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -106,3 +106,18 @@ def op7_embedding_dedup(spark, sf_dir):
 
 
 QUERIES["op7_embedding_dedup"] = op7_embedding_dedup
+
+
+def op6_warc(spark, sf_dir):
+    return warc_bundles.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op6_warc"] = op6_warc
+ORACLES["op6_warc"] = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+q as (select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes, sha1(payload) as payload_digest from p),
+r as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as top from q)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from r"""
