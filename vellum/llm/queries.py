@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_scan, html_blocks, itq_dedup, language_id, packing, quality_rules, simhash_tiles, toxicity, warc_bundles
+from vellum.llm import bpe_scan, html_blocks, itq_dedup, language_id, packing, quality_rules, simhash_tiles, token_counts, toxicity, warc_bundles
 from vellum.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -121,3 +121,10 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
 from r"""
+
+
+def op3_token_counts(spark, sf_dir):
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op3_token_counts"] = op3_token_counts
