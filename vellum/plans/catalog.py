@@ -1,4 +1,4 @@
 """All registered queries and, where SQL can express them, their equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from vellum.plans import layout_queries, text_queries  # noqa: F401
+from vellum.plans.registry import ORACLES, QUERIES  # noqa: F401
