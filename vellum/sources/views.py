@@ -1,7 +1,7 @@
 """Page-grain views derived from the test tables with integer arithmetic, the same in Spark and in DuckDB.
 
 The tables have no boxes, layout or logits of their own, so these views make deterministic ones of orders and lines of orders. A template
-has ``DIV`` for integer division; :func:`view` runs it in Spark, and :func:`sql` gives its text for DuckDB.
+has ``DIV`` for integer division and ``EACH2`` for two rows in place of one; :func:`view` runs it in Spark, and :func:`sql` gives its text for DuckDB.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ TEMPLATES = {
     "candidates": """
       select page_id, region_id * 2 + k as cand_id, class_id, score_milli - k * 37 as score_milli,
         x0 + k * (score_milli % 60) as x0, y0 + k * (score_milli % 20) as y0, x1 + k * (score_milli % 60) as x1, y1 + k * (score_milli % 20) as y1
-      from {regions} cross join (select 0 as k union all select 1 as k) c""",
+      from (select *, EACH2 as k from {regions}) c""",
     # Quads: corners of the lines' boxes, tilted by a few pixels.
     "quads": """
       select page_id, line_id, x0 as qx0, y0 + line_id % 3 as qy0, x1 as qx1, y0 as qy1, x1 - line_id % 2 as qx2, y1 as qy2, x0 + line_id % 4 as qx3, y1 - line_id % 5 as qy3 from {lines}""",
@@ -40,14 +40,23 @@ TEMPLATES = {
     "requests": """
       select event_id, ts, event_type as route, case when value > 200 then 500 when value > 150 then 400 else 200 end as status, value / 100 as duration_s, cast(event_id % 1000 as bigint) as bytes from {events}""",
 }
+SPARK = {"DIV": "div", "EACH2": "explode(array(0, 1))", "EACH4": "explode(array(0, 1, 2, 3))"}
+DUCKDB = {"DIV": "//", "EACH2": "unnest([0, 1])", "EACH4": "unnest([0, 1, 2, 3])"}
 NEEDS = {k: re.findall(r"\{(\w+)\}", v) for k, v in TEMPLATES.items()}
 
 
+def spoken(template: str, words: dict[str, str]) -> str:
+    """The template in the SQL of one engine."""
+    for token, own in words.items():
+        template = template.replace(token, own)
+    return template
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, or a view over it."""
     if name not in TEMPLATES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(TEMPLATES[name].replace("DIV", "div"), **{x: view(spark, sf_dir, x) for x in NEEDS[name]})
+    return spark.sql(spoken(TEMPLATES[name], SPARK), **{x: view(spark, sf_dir, x) for x in NEEDS[name]})
 
 
 def sql(*names: str) -> str:
@@ -58,7 +67,7 @@ def sql(*names: str) -> str:
         for x in NEEDS.get(name, ()):
             if x in TEMPLATES:
                 add(x)
-        text = f"{name} as ({TEMPLATES[name].replace('DIV', '//').format(**{x: x for x in NEEDS[name]})})"
+        text = f"{name} as ({spoken(TEMPLATES[name], DUCKDB).format(**{x: x for x in NEEDS[name]})})"
         if text not in found:
             found.append(text)
 
