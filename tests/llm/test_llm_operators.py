@@ -316,6 +316,8 @@ def test_html_blocks():
     assert html_blocks.main_text("<nav>menu<article><p>Body text here</article>") == "Body text here"
     long = " ".join(["word"] * 60)
     assert html_blocks.main_text(f"<div id=menu><a>a</a></div><p>{long}</p><p>Short.</p><p>{long}</p><div class='cookie-notice'>We use</div>") == f"{long}\nShort.\n{long}"
+    assert html_blocks.main_text("<article><p>One <b class='x\">two</b> three</p><p>four <a href=\"") == "One two three\nfour"
+    assert html_blocks.main_text("<article><p>1 < 2 and 3 > 2</p></article>") == "1 < 2 and 3 > 2"
     assert html_blocks.main_text("<" * 3000 + "a" * 10) is not None
 
 

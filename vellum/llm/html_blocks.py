@@ -7,7 +7,7 @@ an article element, outside of the page's article, or in it. A decision tree fit
 
 Scripts, styles, comments in the markup and what is hidden make no block. Character references are decoded after the tags are taken
 out; white space in a block becomes one space; content blocks are joined by a line feed. Unclosed and misplaced end tags do no harm: an
-end tag closes what it matches or nothing, and an article opened in a part that was never closed is an article.
+end tag closes what it matches or nothing, a tag that is cut off or has odd quotes is left out, and an article opened in a part that was never closed is an article.
 
 Defined results: null and empty pages, and pages without content, have an empty text. Rows that repeat an id are worked on one by one;
 copies have equal results; extra columns are ignored; an empty table gives an empty result.
@@ -42,7 +42,7 @@ NAMES = frozenset(
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>?|(?P<text>[^<]+|<)",
+    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/a-zA-Z][^>]*(?:>|$)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
