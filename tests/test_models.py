@@ -20,7 +20,7 @@ def test_columns():
 
 
 def test_latex():
-    assert latex.tidy(r"\text {漢字} x") == "漢字 x"
+    assert latex.tidy(r"\text {漢字} x") == "漢字x"
     assert latex.tidy('a "b" + c') == "a b+c"
     assert latex.tidy(r"\operatorname {a b} x") == r"\operatorname{ab}x"
     assert latex.tidy("x _ { 1 }") == "x_{1}" and latex.tidy("a b") == "a b" and latex.tidy("") == ""

@@ -11,6 +11,9 @@ KEYWORDS = (
     "INTRODUCTION", "BACKGROUNDANDRELATEDWORK", "BACKGROUND", "RELATEDWORK", "THEORETICALMODELS", "DATA", "METHOD", "METHODS", "METHODOLOGY", "TOPICANALYSIS",
     "RESULT", "RESULTS", "DISCUSSION", "CONCLUSIONS", "CONCLUSION", "LIMITATIONS", "研究背景", "相关工作", "研究方法", "实验结果", "讨论", "结论", "致谢", "目录",
 )
+#: Tags and attributes that tables may keep.
+TABLE_TAGS = ("table", "thead", "tbody", "tr", "td", "th", "col", "colgroup", "caption", "b", "i", "strong", "em")
+SPAN_ATTRIBUTES = ("colspan", "rowspan", "align", "valign")
 SPACE = r"[ \t\n\x0B\f\r]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WIDE = "".join(chr(0xFF01 + i) for i in range(94))
@@ -146,12 +149,21 @@ def cells_of(row: Column) -> Column:
 
 
 def sanitize(html: Column) -> Column:
-    """No scripts or styles; tags of tables and emphasis, with their spans and alignment alone; others go, their text stays."""
-    allowed = "table|thead|tbody|tr|td|th|colgroup|col|caption|b|i|strong|em"
-    html = F.regexp_replace(html, r"(?is)<(script|style).*?(</\1[^>]*>|$)", "")
-    html = F.regexp_replace(html, rf"(?i)<(?!/?(?:{allowed})[\s>])[^>]*>", "")
-    html = F.regexp_replace(html, r"(?i)(<[a-z][^>]*?)\s+(?!(?:colspan|rowspan|align|valign)\s*=)[a-z-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "$1")
-    return F.regexp_replace(html, r"<(?![^<]*>)", "&lt;")
+    """No scripts or styles; tags of tables and emphasis, rebuilt from their names and from letters and digits of their spans and alignment; other tags go, their text stays."""
+    html = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?(</\1[^>]*>|$)", "")
+
+    def value(tag: Column, name: str) -> Column:
+        pattern = rf"(?i)[\s\"']{name}=(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))"
+        given = F.regexp_replace(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3))), "[^A-Za-z0-9]", "")
+        return F.when(given == "", "").otherwise(F.concat(F.lit(f' {name}="'), given, F.lit('"')))
+
+    def part(token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([^ \t\r\n>]*)", 1))
+        opening = F.concat(F.lit("<"), name, *(value(token, x) for x in SPAN_ATTRIBUTES), F.lit(">"))
+        tag = F.when(~name.isin(*TABLE_TAGS), "").when(F.startswith(token, F.lit("</")), F.concat(F.lit("</"), name, F.lit(">"))).otherwise(opening)
+        return F.when(token == "<", "&lt;").when(F.startswith(token, F.lit("<")), tag).otherwise(token)
+
+    return F.array_join(F.transform(F.regexp_extract_all(html, F.lit(r"<[^>]*>|<|[^<]+"), 0), part), "")
 
 
 def table_part(html: Column) -> Column:

@@ -127,7 +127,7 @@ def table_row_widths(spark, sf_dir):
     return table_cells_of(html_tables(spark, sf_dir)).groupBy("p_partkey", "row_").agg(F.sum("colspan").alias("columns"), F.count("*").alias("cells"))
 
 
-@query(f"""with tab as (select p_partkey, {_TABLE} as html from part) select p_partkey, '<TABLE><tr><td colspan="' || cast(p_size % 5 as varchar) || '">' || p_brand || '</td><td>' || p_type || '</td></tr><TR><th rowspan=2>' || p_name || '</th><td>' || cast(p_size as varchar) || '</td></TR></table> 1 &lt; 2' as clean_tail,
+@query(f"""with tab as (select p_partkey, {_TABLE} as html from part) select p_partkey, '<table><tr><td colspan="' || cast(p_size % 5 as varchar) || '">' || p_brand || '</td><td>' || p_type || '</td></tr><tr><th rowspan="2">' || p_name || '</th><td>' || cast(p_size as varchar) || '</td></tr></table> 1 &lt; 2' as clean_tail,
  regexp_extract(html, '(?is)(<table.*</table>)', 1) as part from tab join part using (p_partkey)""")
 def table_sanitised(spark, sf_dir):
     """X25, X26"""
