@@ -1,8 +1,11 @@
-"""Reading order by recursive cuts: the one family of operators that is sequential in each page, so it runs on grouped pages."""
+"""Reading order by recursive cuts: the one family of operators that is sequential in each page, so it runs page by page."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from vellum.functions import dims
 
@@ -56,21 +59,44 @@ def cut_order(boxes: list[tuple[int, int, int, int]], gap: int = 1) -> list[int]
     return out + sorted(missed)
 
 
-def region_order(regions: DataFrame, gap: int = 1) -> DataFrame:
-    """Place of each region on its page: headers, body, footers, each by its own cuts. Pages are grouped once, with the columns that this needs."""
+def by_page(rows: DataFrame, fields: list[str], work: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Rows of ``work`` for each page, behind its page_id. A page is one array, sorted by ``fields``, so Arrow batches hold many pages and a page costs no call of its own."""
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    width = len(schema.split(","))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[] for _ in range(width + 1)]
+            for page, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for row in work(own):
+                    for column, value in zip(out, (page, *row)):
+                        column.append(value)
+            names = ["page_id", *(x.split()[0] for x in schema.split(","))]
+            kinds = [pa.int64(), *({"int": pa.int32(), "long": pa.int64()}[x.split()[1]] for x in schema.split(","))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    def run(page):
-        import pandas as pd
+    return pages.mapInArrow(run, f"page_id long, {schema}")
 
-        page = page.sort_values("region_id").reset_index(drop=True)
-        order = []
-        for bucket in range(3):
-            own = [i for i, c in enumerate(page["class_id"]) if dims.bucket_of(int(c)) == bucket]
-            boxes = [tuple(int(page[k][i]) for k in ("x0", "y0", "x1", "y1")) for i in own]
-            order += [own[k] for k in cut_order(boxes, gap)]
-        return pd.DataFrame({"page_id": page["page_id"].iloc[0], "region_id": page["region_id"].iloc[order].to_numpy(), "position": range(1, len(order) + 1)})
 
-    return regions.select("page_id", "region_id", "class_id", "x0", "y0", "x1", "y1").groupBy("page_id").applyInPandas(run, "page_id long, region_id int, position int")
+def _box(row: dict) -> tuple[int, int, int, int]:
+    return row["x0"], row["y0"], row["x1"], row["y1"]
+
+
+def _bucketed(page: list[dict], gap: int) -> list[int]:
+    """Places in ``page`` in reading order: headers, body, footers, each by its own cuts."""
+    out = []
+    for bucket in range(3):
+        own = [i for i, r in enumerate(page) if dims.bucket_of(r["class_id"]) == bucket]
+        out += [own[k] for k in cut_order([_box(page[i]) for i in own], gap)]
+    return out
+
+
+def region_order(regions: DataFrame, gap: int = 1) -> DataFrame:
+    """Place of each region on its page: headers, body, footers, each by its own cuts."""
+    fields = ["region_id", "class_id", "x0", "y0", "x1", "y1"]
+    return by_page(regions, fields, lambda page: [(page[i]["region_id"], k + 1) for k, i in enumerate(_bucketed(page, gap))], "region_id int, position int")
 
 
 def line_order(ordered_lines: DataFrame, regions: DataFrame, gap: int = 1) -> DataFrame:
@@ -78,24 +104,10 @@ def line_order(ordered_lines: DataFrame, regions: DataFrame, gap: int = 1) -> Da
 
     ``ordered_lines`` has region_id, null for orphans, and position, the place in its region.
     """
-    from pyspark.sql import functions as F
-
     boxes = regions.select("page_id", F.lit(0).alias("kind"), F.col("region_id").cast("long").alias("id"), "class_id", "x0", "y0", "x1", "y1")
     orphans = ordered_lines.where("region_id is null").select("page_id", F.lit(1).alias("kind"), F.col("line_id").cast("long").alias("id"), F.lit(22).alias("class_id"), "x0", "y0", "x1", "y1")
-
-    def run(page):
-        import pandas as pd
-
-        page = page.sort_values(["kind", "id"]).reset_index(drop=True)
-        order = []
-        for bucket in range(3):
-            own = [i for i, c in enumerate(page["class_id"]) if dims.bucket_of(int(c)) == bucket]
-            order += [own[k] for k in cut_order([tuple(int(page[x][i]) for x in ("x0", "y0", "x1", "y1")) for i in own], gap)]
-        return pd.DataFrame({"page_id": page["page_id"].iloc[0], "kind": page["kind"].iloc[order].to_numpy(), "id": page["id"].iloc[order].to_numpy(), "slot": range(1, len(order) + 1)})
-
-    slots = boxes.unionByName(orphans).groupBy("page_id").applyInPandas(run, "page_id long, kind int, id long, slot int")
-    from pyspark.sql import Window
-
+    fields = ["kind", "id", "class_id", "x0", "y0", "x1", "y1"]
+    slots = by_page(boxes.unionByName(orphans), fields, lambda page: [(page[i]["kind"], page[i]["id"], k + 1) for k, i in enumerate(_bucketed(page, gap))], "kind int, id long, slot int")
     placed = ordered_lines.select("page_id", "line_id", "position", F.when(F.col("region_id").isNull(), 1).otherwise(0).alias("kind"), F.coalesce(F.col("region_id"), F.col("line_id")).cast("long").alias("id"))
     by = Window.partitionBy("page_id").orderBy("slot", "position", "line_id")
     return placed.join(slots, ["page_id", "kind", "id"]).select("page_id", "line_id", F.row_number().over(by).alias("place"))
