@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import dims
 from vellum.operators import layout, pdf, quality, render, requests, sequence
 from vellum.plans.layout_queries import BASE, OWNED, both
-from vellum.plans.registry import query
+from vellum.plans.registry import ORACLES, query
 from vellum.sources.views import sql, view
 
 # ---- decoders: vectors as eight steps of eight symbols -------------------------------------------------------------------------------------
@@ -308,6 +308,27 @@ def sliced_means(spark, sf_dir):
     return quality.sliced_means(quality.word_scores(p).join(p.select("id", "lang", "source"), "id").withColumn("score", F.col("f1")))
 
 
+# The same over whole texts: the queries above read the first 200 characters of either document.
+_CUT, _WHOLE = "substr(a.text, 1, 200) as expected, substr(b.text, 1, 200)", "a.text as expected, b.text"
+
+
+def whole_pairs(spark, sf_dir):
+    return spark.sql(_PAIRS.replace(_CUT, _WHOLE), documents=view(spark, sf_dir, "documents"))
+
+
+@query(ORACLES["word_scores"].replace(_CUT, _WHOLE))
+def whole_word_scores(spark, sf_dir):
+    """Whole texts"""
+    return quality.word_scores(whole_pairs(spark, sf_dir))
+
+
+@query(ORACLES["sliced_means"].replace(_CUT, _WHOLE))
+def whole_sliced_means(spark, sf_dir):
+    """Whole texts"""
+    p = whole_pairs(spark, sf_dir)
+    return quality.sliced_means(quality.word_scores(p).join(p.select("id", "lang", "source"), "id").withColumn("score", F.col("f1")))
+
+
 @query("""with e as (select conv_id as doc_id, turn as page, text from conversations), a as (select conv_id as doc_id, turn + 1 as page, role as text from conversations where turn % 4 <> 3) select e.doc_id, e.page - min(e.page) over (partition by e.doc_id) as page, e.text as expected, coalesce(a.text, '') as actual
  from e left join (select *, page - min(page) over (partition by doc_id) as p0 from a) a on a.doc_id = e.doc_id and a.p0 = e.page""")
 def aligned_pages(spark, sf_dir):
