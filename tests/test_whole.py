@@ -33,3 +33,26 @@ def test_word_scores_read_whole_texts(spark, documents):
     assert found == pytest.approx({i: f1(LONG[i][1], LONG[i + 1][1]) for i in (0, 2)}) and max(found.values()) < 1
     means = {(r["lang"], r["source"]): r["mean"] for r in QUERIES["whole_sliced_means"](spark, documents).collect()}
     assert means[None, None] == pytest.approx(sum(found.values()) / 2)
+
+
+def edits(left, right):
+    before = list(range(len(right) + 1))
+    for i, x in enumerate(left, 1):
+        now = [i]
+        for j, y in enumerate(right, 1):
+            now.append(min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def test_character_errors_have_every_pair(spark, tmp_path):
+    rows = LONG + [(4, "", "en", "a"), (5, "x", "en", "a"), (6, "", "en", "a"), (7, "", "en", "a"), (8, "漢字é", "fr", "b"), (9, "漢é", "fr", "b")]
+    path = stored(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string")
+    found = {r["id"]: r for r in QUERIES["whole_character_errors"](spark, path).collect()}
+    assert sorted(found) == [0, 2, 4, 6, 8]
+    for i, r in found.items():
+        e, a = rows[i][1], rows[i + 1][1]
+        n = edits(e, a)
+        assert r["cer"] == pytest.approx(n / len(e) if e else float(bool(a)))
+        assert r["overall"] == pytest.approx((1 - n / max(len(e), len(a), 1) + 0.75) / 3 * 100)
+        assert r["ratio"] == (len(a) / len(e) if e else None)

@@ -329,6 +329,18 @@ def whole_sliced_means(spark, sf_dir):
     return quality.sliced_means(quality.word_scores(p).join(p.select("id", "lang", "source"), "id").withColumn("score", F.col("f1")))
 
 
+@query()
+def whole_character_errors(spark, sf_dir):
+    """Whole texts, a row for every pair; the edits of A33 are over the longer text"""
+    e, a = F.col("expected"), F.col("actual")
+    # Long texts take seconds a pair, so pairs are dealt anew, to a number of tasks that is kept however small they are.
+    p = whole_pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("edits", F.levenshtein(e, a))
+    longer = F.greatest(F.char_length(e), F.char_length(a))
+    edit = F.when(longer == 0, 0.0).otherwise(F.col("edits") / longer)
+    cer = F.when(F.char_length(e) == 0, F.when(F.char_length(a) == 0, 0.0).otherwise(1.0)).otherwise(F.col("edits") / F.char_length(e))
+    return p.select("id", cer.alias("cer"), quality.overall(edit, F.lit(0.5), F.lit(0.25)).alias("overall"), (F.char_length(a) / F.nullif(F.char_length(e), F.lit(0))).alias("ratio"))
+
+
 @query("""with e as (select conv_id as doc_id, turn as page, text from conversations), a as (select conv_id as doc_id, turn + 1 as page, role as text from conversations where turn % 4 <> 3) select e.doc_id, e.page - min(e.page) over (partition by e.doc_id) as page, e.text as expected, coalesce(a.text, '') as actual
  from e left join (select *, page - min(page) over (partition by doc_id) as p0 from a) a on a.doc_id = e.doc_id and a.p0 = e.page""")
 def aligned_pages(spark, sf_dir):
