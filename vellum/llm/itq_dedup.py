@@ -1,10 +1,11 @@
 """Near-duplicate vectors by iterative quantisation, multi-index Hamming tables and exact reranking.
 
-A rotation is learned on a bounded sample (``sample_rows``): from principal components on, it alternates between the signs of the rotated vectors
-and the rotation that brings vectors closest to their signs. Signs of the rotated vectors are balanced binary codes.
+A rotation is learned on a bounded sample (``sample_rows``): from a random one on, it alternates between the signs of the rotated vectors
+and the rotation that brings vectors closest to their signs. Signs of the rotated vectors are binary codes. Vectors are not centred, so a
+bit differs as often as the angle of a pair has it; where vectors share a direction, buckets grow, and links are still found.
 The code is cut into substrings, one table for each. Vectors meet where a substring is equal, or differs in up to ``probe`` bits, and a
-pair is judged in the first table in which it meets. There the codes are compared, and what is within ``max_bits`` is reranked with
-the original vectors in double precision. The width of the substrings follows the number of vectors, so tables have few vectors a bucket.
+pair is judged in the first table in which it meets. There vectors are compared in single precision, and what comes near the limit is
+reranked in double precision; codes are compared as well only if ``max_bits`` is given. The width of the substrings follows the number of vectors, so tables have few vectors a bucket.
 
 Exact copies (equal components) are one row in the tables, with its number of copies. Buckets are dealt as blocks: a large one becomes tiles of two
 blocks, and tasks return counts by vector and a spanning forest of the links, never the pairs.
@@ -27,31 +28,32 @@ from vellum.llm.common import materialise
 from vellum.llm.components import Forest, components
 
 COSINE = 0.95
+#: Directions that a rotation is learned over, at most.
+AXES = 256
 #: Rows of a bucket in a block.
 BLOCK = 2048
 #: Pairs held at a time.
 PAIRS = 4 << 20
 
 
-def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 30, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): signs of (x - mean) @ projection are the code."""
-    mean = vectors.mean(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
-    centred = vectors - mean
-    values, axes = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(vectors.shape[1]))
-    axes = axes[:, np.argsort(-values)[:bits]]
-    start = np.random.default_rng(seed).normal(size=(axes.shape[1], axes.shape[1]))
-    rotation = np.linalg.qr(start)[0]
-    projected = centred @ axes
-    for _ in range(rounds):
+def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 30, seed: int = 42) -> np.ndarray:
+    """projection: signs of x @ projection are the code. Vectors are not centred: that would widen angles where they share a direction."""
+    size = vectors.shape[1]
+    rng = np.random.default_rng(seed)
+    # All directions or, of very many, a random subspace: it keeps the angles of all pairs, those of principal axes only.
+    axes = np.linalg.qr(rng.normal(size=(size, min(size, max(bits, AXES)))))[0]
+    rotation = np.eye(axes.shape[1])
+    projected = vectors @ axes
+    for _ in range(rounds if len(vectors) else 0):
         signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(signs.T @ projected)
         rotation = (left @ right).T
-    return mean, axes @ rotation
+    return (axes @ rotation)[:, :bits]
 
 
-def encode(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+def encode(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """Codes of up to 64 bits, bit k from column k."""
-    signs = (vectors - mean) @ projection >= 0
+    signs = vectors @ projection >= 0
     padded = np.zeros((len(signs), 64), bool)
     padded[:, : signs.shape[1]] = signs
     return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
@@ -104,21 +106,20 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     usable = F.coalesce(F.col("v").isNotNull() & F.col("id").isNotNull() & usable, F.lit(False))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample, _ = unit([r["v"] for r in rows.where(usable & (place < share)).select("v").collect()], size)
-    mean, projection = learn_rotation(sample.reshape(-1, size), bits)
+    projection = learn_rotation(sample.reshape(-1, size), bits)
 
     # One row for each different vector: equal components mean equal text of the array.
     keyed = rows.select("id", "v", usable.alias("usable"))
     different = materialise(keyed.where("usable").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
     n = different.count()
     width, probe = plan_tables(n, bits)
-    limit = max_bits if max_bits is not None else int(np.ceil(bits * np.arccos(cosine) / np.pi + 4 * np.sqrt(bits * 0.1)))
     shifts = list(range(0, bits - width + 1, width))
     masks = [sum(1 << k for k in x) for r in range(probe + 1) for x in itertools.combinations(range(width), r)]
 
     def place_rows(batches):
         """A row as itself in each table, and as a visitor where a substring may differ."""
         for part in batches:
-            codes = encode(clean_unit(part.column(0), size), mean, projection)
+            codes = encode(clean_unit(part.column(0), size), projection)
             home = codes[:, None] >> np.array(shifts, np.uint64)[None, :] & np.uint64((1 << width) - 1)
             m = len(codes)
             index, tables, buckets, visits = [], [], [], []
@@ -163,6 +164,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
         if not whole.num_rows:
             return
         x = clean_unit(whole.column("v"), size)
+        short = x.astype(np.float32)
         rep, copies, code = whole.column("rep").to_numpy(), whole.column("copies").to_numpy(), whole.column("code").to_numpy().view(np.uint64)
         t, b, h, g, role = (whole.column(k).to_numpy() for k in ("t", "b", "h", "g", "role"))
         order = np.lexsort((role, g, h, b, t))
@@ -175,10 +177,10 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
             rows_ = max(1, PAIRS // max(1, len(right)))
             for i in range(0, len(left), rows_):
                 own = left[i : i + rows_]
-                differ = code[own][:, None] ^ code[right][None, :]
-                near = np.bitwise_count(differ) <= limit
-                if table:
-                    near &= first_table(differ, table)
+                # Single precision errs by far less than the margin.
+                near = short[own] @ short[right].T >= cosine - 1e-4
+                if max_bits is not None:
+                    near &= np.bitwise_count(code[own][:, None] ^ code[right][None, :]) <= max_bits
                 p, q = np.nonzero(near)
                 if same:
                     p, q = p[p + i < q], q[p + i < q]
@@ -187,6 +189,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
                 for k in range(0, len(p), 1 << 17):
                     a, c = own[p[k : k + (1 << 17)]], right[q[k : k + (1 << 17)]]
                     linked = np.einsum("ij,ij->i", x[a], x[c]) >= cosine
+                    linked &= first_table(code[a] ^ code[c], table)
                     a, c = a[linked], c[linked]
                     np.add.at(counts, number[a], copies[c])
                     np.add.at(counts, number[c], copies[a])
