@@ -32,3 +32,13 @@ def test_shared_direction(spark, shared):
     found = recall(spark, planted(700, 64, shared))
     print("recall", shared, found)
     assert found >= 0.97
+
+
+@pytest.mark.parametrize("n", [1 << 18, (1 << 18) + 1, 1 << 28])
+@pytest.mark.parametrize("size", [16, 32, 64])
+def test_plan_of_any_size(spark, monkeypatch, n, size):
+    plan = itq_dedup.plan_tables(n, min(64, size))
+    monkeypatch.setattr(itq_dedup, "plan_tables", lambda m, bits: plan)
+    found = recall(spark, planted(700, size, 0))
+    print("recall", n, size, plan, found)
+    assert found >= 0.97

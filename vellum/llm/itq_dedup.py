@@ -3,9 +3,10 @@
 A rotation is learned on a bounded sample (``sample_rows``): from a random one on, it alternates between the signs of the rotated vectors
 and the rotation that brings vectors closest to their signs. Signs of the rotated vectors are binary codes. Vectors are not centred, so a
 bit differs as often as the angle of a pair has it; where vectors share a direction, buckets grow, and links are still found.
-The code is cut into substrings, one table for each. Vectors meet where a substring is equal, or differs in up to ``probe`` bits, and a
-pair is judged in the first table in which it meets. There vectors are compared in single precision, and what comes near the limit is
-reranked in double precision; codes are compared as well only if ``max_bits`` is given. The width of the substrings follows the number of vectors, so tables have few vectors a bucket.
+The code is cut into substrings, one table for each. Vectors meet where a substring is equal, and a pair is judged in the first table in
+which it meets. There vectors are compared in single precision, and what comes near the limit is reranked in double precision; codes are
+compared as well only if ``max_bits`` is given. The width of the substrings follows the number of vectors, so tables have few vectors a
+bucket. The number of tables follows the width, so that a pair at the limit meets with the same chance (``RECALL``) at any size and dimension.
 
 Exact copies (equal components) are one row in the tables, with its number of copies. Buckets are dealt as blocks: a large one becomes tiles of two
 blocks, and tasks return counts by vector and a spanning forest of the links, never the pairs.
@@ -18,6 +19,7 @@ in ``n_links``; different vectors under one id are one node. Extra columns are i
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from vellum.llm.components import Forest, components
 COSINE = 0.95
 #: Directions that a rotation is learned over, at most.
 AXES = 256
+#: Share of the pairs at the least cosine that meet in some table.
+RECALL = 0.99
 #: Rows of a bucket in a block.
 BLOCK = 2048
 #: Pairs held at a time.
@@ -37,26 +41,29 @@ PAIRS = 4 << 20
 
 
 def learn_rotation(vectors: np.ndarray, bits: int, rounds: int = 30, seed: int = 42) -> np.ndarray:
-    """projection: signs of x @ projection are the code. Vectors are not centred: that would widen angles where they share a direction."""
+    """projection: signs of x @ projection are the code. Vectors are not centred: that would widen angles where they share a direction.
+
+    More bits than directions are taken from several rotations."""
     size = vectors.shape[1]
     rng = np.random.default_rng(seed)
-    # All directions or, of very many, a random subspace: it keeps the angles of all pairs, those of principal axes only.
-    axes = np.linalg.qr(rng.normal(size=(size, min(size, max(bits, AXES)))))[0]
-    rotation = np.eye(axes.shape[1])
-    projected = vectors @ axes
-    for _ in range(rounds if len(vectors) else 0):
-        signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(signs.T @ projected)
-        rotation = (left @ right).T
-    return (axes @ rotation)[:, :bits]
-
-
-def encode(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Codes of up to 64 bits, bit k from column k."""
-    signs = vectors @ projection >= 0
-    padded = np.zeros((len(signs), 64), bool)
-    padded[:, : signs.shape[1]] = signs
-    return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
+    out: list[np.ndarray] = []
+    while sum(x.shape[1] for x in out) < bits:
+        # All directions or, of very many, a random subspace: it keeps the angles of all pairs, those of principal axes only.
+        axes = np.linalg.qr(rng.normal(size=(size, min(size, AXES))))[0]
+        rotation = np.eye(axes.shape[1])
+        projected = vectors @ axes
+        for _ in range(rounds if len(vectors) else 0):
+            signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
+            left, _, right = np.linalg.svd(signs.T @ projected)
+            rotation = (left @ right).T
+        out.append(axes @ rotation)
+    return np.concatenate(out, axis=1)[:, :bits]
+
+
+def encode(vectors: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
+    """Substrings of the codes, one column for each table; bit k of a substring from its column k."""
+    signs = (vectors @ projection >= 0).reshape(len(vectors), -1, width)
+    return signs @ (1 << np.arange(width, dtype=np.int64))
 
 
 def unit(rows: list, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +91,15 @@ def clean_unit(column, size: int) -> np.ndarray:
 
 
 def plan_tables(n: int, bits: int) -> tuple[int, int]:
-    """(width of a substring, bits it may differ in) for n vectors."""
-    for most, width, probe in ((1 << 18, 8, 0), (1 << 28, 16, 1)):
-        if n <= most:
-            return min(width, bits), probe
-    return min(21, bits), 2
+    """(width of a substring, bits it may differ in) for n vectors: a bucket has about 1024 of them at any n; ``bits`` sets no limit."""
+    return max(8, int(np.ceil(np.log2(max(1, n) / 1024)))), 0
+
+
+def table_count(width: int, probe: int, cosine: float) -> int:
+    """Tables in which a pair at that cosine meets at least once with a chance of ``RECALL``, at any width."""
+    differ = min(1.0, np.arccos(min(1.0, cosine)) / np.pi)
+    meet = sum(math.comb(width, r) * differ**r * (1 - differ) ** (width - r) for r in range(probe + 1))
+    return 1 if meet >= RECALL else int(np.ceil(np.log(1 - RECALL) / np.log1p(-meet)))
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE, sample_rows: int = 20_000, max_bits: int | None = None) -> DataFrame:
@@ -106,36 +117,36 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     usable = F.coalesce(F.col("v").isNotNull() & F.col("id").isNotNull() & usable, F.lit(False))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample, _ = unit([r["v"] for r in rows.where(usable & (place < share)).select("v").collect()], size)
-    projection = learn_rotation(sample.reshape(-1, size), bits)
 
     # One row for each different vector: equal components mean equal text of the array.
     keyed = rows.select("id", "v", usable.alias("usable"))
     different = materialise(keyed.where("usable").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
     n = different.count()
     width, probe = plan_tables(n, bits)
-    shifts = list(range(0, bits - width + 1, width))
+    tables = table_count(width, probe, cosine)
+    projection = learn_rotation(sample.reshape(-1, size), max(tables * width, bits))
     masks = [sum(1 << k for k in x) for r in range(probe + 1) for x in itertools.combinations(range(width), r)]
 
     def place_rows(batches):
         """A row as itself in each table, and as a visitor where a substring may differ."""
         for part in batches:
-            codes = encode(clean_unit(part.column(0), size), projection)
-            home = codes[:, None] >> np.array(shifts, np.uint64)[None, :] & np.uint64((1 << width) - 1)
-            m = len(codes)
-            index, tables, buckets, visits = [], [], [], []
+            home = encode(clean_unit(part.column(0), size), projection[:, : tables * width], width)
+            m = len(home)
+            codes = pa.array([x.tobytes() for x in home], pa.binary())
+            index, number, buckets, visits = [], [], [], []
             for j, mask in enumerate(masks):
-                index.append(np.repeat(np.arange(m), len(shifts)))
-                tables.append(np.tile(np.arange(len(shifts), dtype=np.int32), m))
-                buckets.append((home ^ np.uint64(mask)).ravel())
-                visits.append(np.full(m * len(shifts), j > 0))
+                index.append(np.repeat(np.arange(m), tables))
+                number.append(np.tile(np.arange(tables, dtype=np.int32), m))
+                buckets.append((home ^ mask).ravel())
+                visits.append(np.full(m * tables, j > 0))
             at = pa.array(np.concatenate(index))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(codes.view(np.int64)).take(at), pa.array(np.concatenate(tables)), pa.array(np.concatenate(buckets).astype(np.int64)), pa.array(np.concatenate(visits))],
+                [part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), codes.take(at), pa.array(np.concatenate(number)), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(visits))],
                 ["v", "rep", "copies", "code", "t", "b", "visit"],
             )
 
     element = rows.schema["v"].dataType.simpleString()
-    placed = different.select("v", "rep", "copies").mapInArrow(place_rows, f"v {element}, rep {kind}, copies long, code long, t int, b long, visit boolean")
+    placed = different.select("v", "rep", "copies").mapInArrow(place_rows, f"v {element}, rep {kind}, copies long, code binary, t int, b long, visit boolean")
     # Tiles: a row at home is of block own; it meets blocks from its own on, and blocks of visitors. Only large buckets have blocks.
     large = placed.where("not visit").groupBy("t", "b").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
     large = materialise(large.select("t", "b", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "large")
@@ -149,12 +160,9 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
         visitors = placed.where("visit").select("v", "rep", "copies", "code", "t", "b", F.explode(every).alias("h"), F.col("own").alias("g"), F.lit(2).alias("role"))
         dealt = dealt.unionByName(visitors)
 
-    def first_table(differ: np.ndarray, t: int) -> np.ndarray:
-        """Pairs that did not meet in a table before t."""
-        fresh = np.ones(differ.shape, bool)
-        for s in shifts[:t]:
-            fresh &= np.bitwise_count(differ >> np.uint64(s) & np.uint64((1 << width) - 1)) > probe
-        return fresh
+    def first_table(differ: np.ndarray) -> np.ndarray:
+        """Pairs that met in no table of these."""
+        return (np.bitwise_count(differ) > probe).all(axis=1)
 
     def join(batches):
         held = [pa.Table.from_batches([b]) for b in batches]
@@ -165,7 +173,9 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
             return
         x = clean_unit(whole.column("v"), size)
         short = x.astype(np.float32)
-        rep, copies, code = whole.column("rep").to_numpy(), whole.column("copies").to_numpy(), whole.column("code").to_numpy().view(np.uint64)
+        rep, copies = whole.column("rep").to_numpy(), whole.column("copies").to_numpy()
+        code = np.frombuffer(b"".join(whole.column("code").to_pylist()), np.int64).reshape(-1, tables)
+        signs = np.packbits(x @ projection[:, :bits] >= 0, axis=1) if max_bits is not None else None
         t, b, h, g, role = (whole.column(k).to_numpy() for k in ("t", "b", "h", "g", "role"))
         order = np.lexsort((role, g, h, b, t))
         keys = np.stack([k[order] for k in (t, b, h, g)])
@@ -180,7 +190,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
                 # Single precision errs by far less than the margin.
                 near = short[own] @ short[right].T >= cosine - 1e-4
                 if max_bits is not None:
-                    near &= np.bitwise_count(code[own][:, None] ^ code[right][None, :]) <= max_bits
+                    near &= np.bitwise_count(signs[own][:, None] ^ signs[right][None, :]).sum(axis=2) <= max_bits
                 p, q = np.nonzero(near)
                 if same:
                     p, q = p[p + i < q], q[p + i < q]
@@ -189,7 +199,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
                 for k in range(0, len(p), 1 << 17):
                     a, c = own[p[k : k + (1 << 17)]], right[q[k : k + (1 << 17)]]
                     linked = np.einsum("ij,ij->i", x[a], x[c]) >= cosine
-                    linked &= first_table(code[a] ^ code[c], table)
+                    linked &= first_table(code[a, :table] ^ code[c, :table])
                     a, c = a[linked], c[linked]
                     np.add.at(counts, number[a], copies[c])
                     np.add.at(counts, number[c], copies[a])
@@ -210,7 +220,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"rep": pa.array(ids[some]), "root": pa.array(ids[forest.root[some]]), "n": pa.array(counts[some])})
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(shifts) * len(masks) // 40_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables * len(masks) // 40_000))
     met = materialise(dealt.repartition(parts, "t", "b", "h", "g").mapInArrow(join, f"rep {kind}, root {kind}, n long"), "met")
     roots = components(met.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     sums = met.groupBy("rep").agg(F.sum("n").alias("n"))
