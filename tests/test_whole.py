@@ -1,6 +1,7 @@
 """Queries over whole texts, against brute force on texts that are longer than any prefix."""
 
 import collections
+import hashlib
 import re
 
 import pytest
@@ -56,3 +57,27 @@ def test_character_errors_have_every_pair(spark, tmp_path):
         assert r["cer"] == pytest.approx(n / len(e) if e else float(bool(a)))
         assert r["overall"] == pytest.approx((1 - n / max(len(e), len(a), 1) + 0.75) / 3 * 100)
         assert r["ratio"] == (len(a) / len(e) if e else None)
+
+
+def hashed(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_escapes_read_whole_texts(spark, tmp_path):
+    text = "a" * 300 + "[x]`\n\nb[EOS] continued"
+    path = stored(spark, tmp_path, "documents", [(1, text)], "doc_id long, text string")
+    stored(spark, tmp_path, "pages", [(1, text + "</b>")], "page_id long, html string")
+    stored(spark, tmp_path, "conversations", [(1, 0, text)], "conv_id long, turn int, text string")
+    row = QUERIES["whole_markdown_escapes"](spark, path).collect()[0]
+    link = "\\[" + "a" * 300 + "\\[x\\]` b\\[EOS\\] continued\\]\\(a\\\\b\\)"
+    assert (row["link"], row["code"], row["tag"]) == (hashed(link), hashed("`` [" + text + "](a\\b) ``"), hashed(text))
+    assert QUERIES["whole_decoder_text"](spark, path).collect()[0]["bare"] == hashed(text.replace("[EOS]", ""))
+    assert QUERIES["whole_html_escapes"](spark, path).collect()[0]["content"] == hashed(text)
+    assert QUERIES["whole_batch_json"](spark, path).collect()[0]["results"] == hashed(text)
+
+
+def test_neighbours_read_whole_blocks(spark, tmp_path):
+    # Of document 4, page 5 begins with a table and page 6 has one after a text; texts between them are furniture by a late keyword.
+    for late, n in (("continued", 1), ("none", 0)):
+        path = stored(spark, tmp_path / late, "documents", [(k, "x" * 40 + late) for k in (45, 46)], "doc_id long, text string")
+        assert QUERIES["whole_table_neighbours"](spark, path).count() == n

@@ -265,6 +265,16 @@ def batch_json(spark, sf_dir):
     return p.select("batch_id", F.array_join("p.results", "|").alias("results"), F.array_join("p.errors", "|").alias("errors"))
 
 
+@query("select batch_id, sha256(results) as results, errors from (" + ORACLES["batch_json"].replace("substr(text, 1, 10)", "text") + ") q")
+def whole_batch_json(spark, sf_dir):
+    """Whole texts"""
+    c = view(spark, sf_dir, "conversations")
+    bad = F.col("turn") % 3 == 2
+    j = render.batch_json(c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("slot"), F.when(~bad, F.col("text")).alias("text"), F.when(bad, "base64_decode_failed").alias("error")))
+    p = j.select("batch_id", F.from_json("json", "results array<string>, errors array<string>").alias("p"))
+    return p.select("batch_id", F.sha2(F.array_join("p.results", "|"), 256).alias("results"), F.array_join("p.errors", "|").alias("errors"))
+
+
 @query("select conv_id, turn, text as content from conversations where role = 'assistant'")
 def chat_replies(spark, sf_dir):
     """Content of chat replies"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.plans.registry import query
+from vellum.plans.registry import ORACLES, query
 from vellum.sources.views import view
 
 #: What the test texts lack is put in: wide forms, CJK, controls, numbers of headings.
@@ -194,3 +194,41 @@ def trigram_uniqueness(spark, sf_dir):
     w = view(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("a")).where(F.size("a") >= 50)
     grams = F.transform(F.sequence(F.lit(1), F.size("a") - 2), lambda i: F.array_join(F.slice("a", i, 3), " "))
     return w.select("doc_id", (F.size("a") - 2).cast("long").alias("n"), F.size(F.array_distinct(grams)).cast("long").alias("d")).withColumn("collapsed", F.col("d") * 4 < F.col("n"))
+
+
+# ---- the same over whole texts: the queries above read first lines, first words or a few characters ------------------------------------------
+
+def _hashed(name: str, columns: str, kept: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query without its cuts, with hashes in place of long columns."""
+    text = ORACLES[name]
+    for cut, whole in cuts:
+        assert cut in text
+        text = text.replace(cut, whole)
+    return f"select {kept}, " + ", ".join(f"sha256({c}) as {c}" for c in columns.split()) + f" from ({text}) q"
+
+
+def _hash(frame, columns: str):
+    return frame.withColumns({c: F.sha2(c, 256) for c in columns.split()})
+
+
+@query(_hashed("markdown_escapes", "link code tag", "doc_id", ("substr(text, 1, 40)", "text"), ("substr(text, 1, 5)", "text")))
+def whole_markdown_escapes(spark, sf_dir):
+    """Whole texts"""
+    text = F.col("text")
+    a, b = F.concat(F.lit("["), text, F.lit("](a\\b)")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("( "), text, F.lit(" )"))).otherwise(text)
+    return _hash(view(spark, sf_dir, "documents").select("doc_id", t.link_escape(a).alias("link"), t.code_span(a).alias("code"), t.clean_tag(b).alias("tag")), "link code tag")
+
+
+@query(_hashed("html_escapes", "content", "page_id, escaped, cell, bare", ("substr(html, 200, 60)", "html")))
+def whole_html_escapes(spark, sf_dir):
+    """Whole markup"""
+    h = F.col("html")
+    return _hash(view(spark, sf_dir, "pages").select("page_id", *(f(h).alias(k) for k, f in (("escaped", t.html_escape), ("cell", t.cell_escape), ("bare", t.strip_tags), ("content", t.cell_content)))), "escaped cell bare content")
+
+
+@query(_hashed("decoder_text", "bare", "doc_id, scripts", ("substr(text, 1, 30)", "text")))
+def whole_decoder_text(spark, sf_dir):
+    """Whole texts"""
+    bare = t.frame_stripped(F.concat(F.lit("[BOS] "), F.col("text"), F.lit(" [EOS][PAD]")))
+    lists = F.when(F.col("doc_id") % 3 == 2, "latin, klingon").when(F.col("doc_id") % 3 == 1, "Latin").otherwise(" latin,GREEK,latin,")
+    return view(spark, sf_dir, "documents").select("doc_id", F.sha2(bare, 256).alias("bare"), F.array_join(t.scripts(lists, ("latin", "greek", "cyrillic")), ",").alias("scripts"))
