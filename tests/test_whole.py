@@ -81,3 +81,15 @@ def test_neighbours_read_whole_blocks(spark, tmp_path):
     for late, n in (("continued", 1), ("none", 0)):
         path = stored(spark, tmp_path / late, "documents", [(k, "x" * 40 + late) for k in (45, 46)], "doc_id long, text string")
         assert QUERIES["whole_table_neighbours"](spark, path).count() == n
+
+
+def test_counts_read_every_line(spark, tmp_path):
+    # Id 4 has the prefix "A. ".
+    text = "first\n漢字漢字�\x01Ａ"
+    path = stored(spark, tmp_path, "documents", [(4, text)], "doc_id long, text string")
+    row = QUERIES["whole_character_counts"](spark, path).collect()[0]
+    assert (row["cjk"], row["has_cjk"], row["replaced"], row["controls"]) == (4, True, 1, 1)
+    assert QUERIES["whole_cjk_pages"](spark, path).collect()[0]["is_cjk"]
+    forms = QUERIES["whole_normal_forms"](spark, path).collect()[0]
+    assert forms["points"] == 3 + len(text) and forms["half"] == hashed("A. " + text.replace("Ａ", "A")) and forms["lower"] == hashed("a. " + text)
+    assert QUERIES["whole_latex_replies"](spark, path).collect()[0]["latex"] == hashed(text)

@@ -198,6 +198,15 @@ def trigram_uniqueness(spark, sf_dir):
 
 # ---- the same over whole texts: the queries above read first lines, first words or a few characters ------------------------------------------
 
+_WHOLE = f"with heads as (select doc_id, concat({_PREFIX}, coalesce(nullif(text, ''), 'x')) as head, text from documents)"
+
+
+def whole_heads(spark, sf_dir):
+    """Whole texts behind the same prefixes."""
+    d = view(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.expr(_PREFIX), F.coalesce(F.nullif("text", F.lit("")), F.lit("x"))).alias("head"))
+
+
 def _hashed(name: str, columns: str, kept: str, *cuts: tuple[str, str]) -> str:
     """The SQL of a query without its cuts, with hashes in place of long columns."""
     text = ORACLES[name]
@@ -211,6 +220,35 @@ def _hash(frame, columns: str):
     return frame.withColumns({c: F.sha2(c, 256) for c in columns.split()})
 
 
+@query(_hashed("text_normal_forms", "trimmed lower half normal", "doc_id, points", (_HEADS, _WHOLE)))
+def whole_normal_forms(spark, sf_dir):
+    """Whole texts"""
+    h, c = whole_heads(spark, sf_dir), F.col("head")
+    out = h.select("doc_id", t.trim(F.concat(F.lit("\t "), c, F.lit("\x0b\n"))).alias("trimmed"), F.char_length(c).alias("points"), t.ascii_lower(c).alias("lower"), t.half_width(c).alias("half"), t.normal_text(c).alias("normal"))
+    return _hash(out, "trimmed lower half normal")
+
+
+@query(ORACLES["character_counts"].replace(_HEADS, _WHOLE))
+def whole_character_counts(spark, sf_dir):
+    """Whole texts"""
+    c = F.col("head")
+    return whole_heads(spark, sf_dir).select("doc_id", t.cjk_count(c).alias("cjk"), t.contains_cjk(c).alias("has_cjk"), t.replacement_count(c).alias("replaced"), t.unprintable_count(c).alias("controls"))
+
+
+@query(ORACLES["cjk_pages"].replace(_HEADS, _WHOLE))
+def whole_cjk_pages(spark, sf_dir):
+    """Whole texts"""
+    n = whole_heads(spark, sf_dir).groupBy((F.col("doc_id") % 100).alias("page")).agg(F.sum(t.cjk_count(F.col("head"))).alias("cjk"), F.sum(F.char_length("head")).alias("total"))
+    return n.withColumn("is_cjk", (F.col("cjk") >= 3) & (F.col("cjk") * 100 >= F.col("total")))
+
+
+@query(_hashed("latex_replies", "latex", "doc_id", ("split_part(text, ' ', 1) as w", "text as w")))
+def whole_latex_replies(spark, sf_dir):
+    """Whole texts"""
+    w = view(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w"))
+    return _hash(w.select("doc_id", t.latex_of(F.expr(_REPLY.replace("\\", "\\\\"))).alias("latex")), "latex")
+
+
 @query(_hashed("markdown_escapes", "link code tag", "doc_id", ("substr(text, 1, 40)", "text"), ("substr(text, 1, 5)", "text")))
 def whole_markdown_escapes(spark, sf_dir):
     """Whole texts"""
