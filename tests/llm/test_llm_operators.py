@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("vellum.llm")
 import public_tokenizers as P  # noqa: E402
@@ -288,7 +289,7 @@ def test_embeddings(spark, monkeypatch):
 def test_warc(spark, tmp_path):
     big = "x" * 1500
     rows = [(1, "http://a/", big), (2, "http://b/é", big), (3, None, big), (4, "http://c", "small"), (5, "u", "small"), (6, "u\r\nv", None), (7, "u", "é" * 700), (8, "u", "é" * 700), (8, "u", "é" * 700), (None, "u", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, id string, digest int")
     index = warc_bundles.write(warc_bundles.mark_revisits(pages), str(tmp_path), warc_bundles.Options(frame_bytes=2000, bundle_bytes=100))
     found = sorted(((r["id"] or 0), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc_bundles.read(index, "long").collect())
     sha = lambda s: hashlib.sha1(s.encode()).hexdigest()
@@ -296,6 +297,16 @@ def test_warc(spark, tmp_path):
     want = [(0, 1500, sha(big), "revisit", 3), (1, 1500, sha(big), "revisit", 3), (2, 1500, sha(big), "revisit", 3), (3, 1500, sha(big), "response", None), (4, 5, sha("small"), "response", None)]
     want += [(5, 5, sha("small"), "response", None), (6, 0, sha(""), "response", None), (7, 1400, sha(wide), "revisit", 8), (8, 1400, sha(wide), "response", None), (8, 1400, sha(wide), "response", None)]
     assert found == want
+    # A shuffled index, and a part of it, give the same rows; frames are read in more than one task.
+    shuffled = index.orderBy(F.rand(3))
+    assert sorted(((r["id"] or 0), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc_bundles.read(shuffled, "long").collect()) == want
+    assert warc_bundles.fetch(index).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert [r["record_id"] for r in warc_bundles.fetch(index.where("id = 5")).collect()] == [warc_bundles.identifier(5)]
+    assert spark.read.parquet(f"{tmp_path}/index").count() == len(rows)
+    said = "id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    for other in (("2", 9, "aa", "response", None), ("3", 5, "aa", "response", None)):
+        with pytest.raises(ValueError, match="agree"):
+            warc_bundles.check_revisits(spark.createDataFrame([("1", 5, "aa", "revisit", "2"), other], said))
     for r in index.collect():
         headers, block = warc_bundles.read_record(r["file"], r["frame"], r["offset"])
         assert headers["warc-record-id"] == r["record_id"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -60,26 +61,52 @@ def crc_of(value) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this session's own where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of
+    its own; on any other master that is an error, for executors would write to disks that the others don't see."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share; it isn't set, and the master is {spark.sparkContext.master}")
+    import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders that this process wrote and has not deleted.
+_written: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder, which ``clean`` deletes."""
+    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def materialise(frame: DataFrame, name: str) -> DataFrame:
     """Write the rows once into the shared folder and read them back: what follows doesn't compute them again,
     and a lost executor loses none of them."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the intermediate folders from number ``since`` on but the last ``keep``: all of them by default, which is safe
+    once results have been written, as results are lazy and read these folders."""
+    for path in _written[since : len(_written) - keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _written.remove(path)
+
+
+def written() -> int:
+    """How many intermediate folders there are now; ``clean`` takes the number."""
+    return len(_written)
+
+
 def load_tokens(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()

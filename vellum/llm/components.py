@@ -2,7 +2,8 @@
 
 Every step is a grouped minimum, summed up before the shuffle, and a join whose sides Spark can split where a node has very many
 links. Steps write their links into the shared folder, so that plans stay short and a lost executor costs one step at most. The
-links of a component end as a star around its smallest node. Nothing but a count and a checksum reaches the driver.
+links of a component end as a star around its smallest node. Nothing but a count and a checksum reaches the driver. What a round wrote
+is deleted when the next has its own.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise
+from vellum.llm.common import clean, materialise, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -23,7 +24,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and links of a node with itself link nothing; repeated links count once.
     """
+    spark = links.sparkSession
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    begun = written()
     links = materialise(links, "links")
     state = _state(links)
     while state[0]:
@@ -34,7 +37,9 @@ def components(links: DataFrame) -> DataFrame:
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        if (now := _state(links)) == state:
+        now = _state(links)
+        clean(spark, begun, keep=1)
+        if now == state:
             break
         state = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

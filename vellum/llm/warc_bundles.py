@@ -3,7 +3,9 @@
 A bundle is a file of independent Zstandard frames, each with the records of about ``frame_bytes``, and a last, skippable frame with the seek
 table of the Zstandard seekable format: compressed and decompressed size of each frame, their number and the closing magic number. Any
 Zstandard tool reads a bundle from front to end; with the seek table a reader fetches and decompresses one frame. The index that
-writing returns maps record identifiers to file, frame and offset in the decompressed frame.
+writing returns, and leaves beside the bundles, maps record identifiers to file, frame and offset in the decompressed frame. Reading
+goes by the index alone: runs of frames are dealt to as many tasks as there are bytes for, each task takes the places of its frames from the
+seek table, and takes from a frame the records that the index names, each at its offset. A revisit is held against the response that it refers to.
 
 Of records with equal payloads of ``min_revisit`` bytes or more, that with the largest id is a response, and the others revisit it. Payloads
 are compared by digest and length, which are computed before the shuffle.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 from dataclasses import dataclass
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, shared_folder, slices, texts
+from vellum.llm.common import materialise, scratch, slices, texts
 
 # Magic numbers of the Zstandard seekable format, the prefix of record identifiers and the profile of revisits.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PREFIX = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Frames in a row that one task reads, and bytes of records that a task reads at the mean.
+RUN, TASK_BYTES = 8, 64 << 20
 
 
 def mark_revisits(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", url_column: str = "url", min_revisit: int = 1000) -> DataFrame:
@@ -74,16 +79,11 @@ def information(date: str) -> bytes:
     return head.encode() + body + b"\r\n\r\n"
 
 
-def parse(frame: bytes):
-    """(offset, headers, block) of each record of a decompressed frame."""
-    at = 0
-    while at < len(frame):
-        end = frame.index(b"\r\n\r\n", at) + 4
-        lines = frame[at:end].decode().split("\r\n")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
-        size = int(headers["content-length"])
-        yield at, headers, frame[end : end + size]
-        at = end + size + 4
+def record_at(frame: bytes, at: int) -> tuple[dict, bytes]:
+    """Headers and block of the record at that offset of a decompressed frame."""
+    end = frame.index(b"\r\n\r\n", at) + 4
+    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in frame[at:end].decode().split("\r\n")[1:] if x)}
+    return headers, frame[end : end + int(headers["content-length"])]
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -158,8 +158,9 @@ class Options:
 
 
 def write(marked: DataFrame, folder: str | None = None, options: Options = Options()) -> DataFrame:
-    """Writes the rows of ``mark_revisits`` and returns the index: (id, record_id, file, frame, offset, length)."""
-    folder = folder or f"{shared_folder(marked.sparkSession)}/warc-{uuid.uuid4().hex}"
+    """Writes the rows of ``mark_revisits`` and returns the index: (id, record_id, file, frame, offset, length). It is kept as Parquet
+    in the folder ``index`` beside the bundles; without ``folder`` all of it is intermediate."""
+    folder = folder or scratch(marked.sparkSession, "warc")
     kind = marked.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -187,7 +188,8 @@ def write(marked: DataFrame, folder: str | None = None, options: Options = Optio
             bundle.close()
 
     index = marked.mapInArrow(run, f"id {kind}, record_id string, file string, frame int, offset long, length long")
-    return materialise(index, "warc-index")
+    index.write.mode("overwrite").parquet(f"{folder}/index")
+    return marked.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
 
 
 def read_record(file: str, frame: int, offset: int) -> tuple[dict, bytes]:
@@ -198,36 +200,71 @@ def read_record(file: str, frame: int, offset: int) -> tuple[dict, bytes]:
     with system.open_input_file(path) as opened:
         place, packed, plain = read_seek_table(opened)[frame]
         data = zstandard.ZstdDecompressor().decompress(opened.read_at(packed, place), max_output_size=plain)
-    _, headers, block = next(parse(data[offset:]))
-    return headers, block
+    return record_at(data, offset)
 
 
-def read(index: DataFrame, id_type: str) -> DataFrame:
-    """What the bundles named in the index hold: (id, payload_bytes, payload_digest, record_type, refers_to), bundle by bundle."""
+def visit(index: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` over the (headers, block) pairs of each frame, those records only that the index, or a part of it, names: frames are
+    found by the seek table, records at their offsets."""
+    spark = index.sparkSession
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    # Offsets of a frame are gathered before the shuffle: the task that wrote them has them all, and a frame is bounded.
+    frames = index.groupBy("file", "frame").agg(F.collect_list("offset").alias("offsets"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    dealt = frames.withColumn("run", F.expr(f"frame div {RUN}")).repartition(parts, "file", "run").sortWithinPartitions("file", "frame").select("file", "frame", "offsets")
 
     def run(batches):
         import zstandard
 
-        for part in batches:
-            for name in part.column(0).to_pylist():
-                system, path = file_system(name)
-                with system.open_input_file(path) as opened:
-                    for place, packed, plain in read_seek_table(opened):
-                        data = zstandard.ZstdDecompressor().decompress(opened.read_at(packed, place), max_output_size=plain)
-                        rows = [x for _, headers, block in parse(data) if (x := describe(headers, block))]
-                        columns = list(zip(*rows)) or [()] * 5
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    files = index.select("file").distinct()
-    found = files.mapInArrow(run, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+        unpack = zstandard.ZstdDecompressor()
+        rows = (r for part in batches for r in zip(*(part.column(k).to_pylist() for k in range(3))))
+        for name, own in itertools.groupby(rows, key=lambda r: r[0]):
+            system, path = file_system(name)
+            with system.open_input_file(path) as opened:
+                places = read_seek_table(opened)
+                for _, frame, offsets in own:
+                    place, packed, plain = places[frame]
+                    data = unpack.decompress(opened.read_at(packed, place), max_output_size=plain)
+                    yield work([record_at(data, at) for at in sorted(offsets)])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def fetch(index: DataFrame) -> DataFrame:
+    """(record_id, headers, block) of each record that the index names."""
+
+    def work(found):
+        columns = [[h["warc-record-id"] for h, _ in found], [list(h.items()) for h, _ in found], [b for _, b in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()))], ["record_id", "headers", "block"])
+
+    return visit(index, work, "record_id string, headers map<string,string>, block binary")
+
+
+def read(index: DataFrame, id_type: str) -> DataFrame:
+    """What the index leads to: (id, payload_bytes, payload_digest, record_type, refers_to) of each record. Raises if a response isn't
+    what its digest says, or a revisit's response has another payload or isn't there."""
+
+    def work(found):
+        columns = list(zip(*(describe(h, b) for h, b in found)))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    found = materialise(visit(index, work, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string"), "warc-read")
+    check_revisits(found)
     return found.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
-def describe(headers: dict, block: bytes) -> tuple | None:
+def check_revisits(found: DataFrame) -> None:
+    """Raises if a revisit says another size or digest than the response it refers to; of its copies one row is compared."""
+    said = found.where("record_type = 'revisit'").groupBy(F.col("refers_to").alias("id"), "payload_digest", "payload_bytes").agg(F.count("*").alias("n"))
+    kept = found.where("record_type = 'response'").select("id", "payload_digest", "payload_bytes")
+    if wrong := said.join(kept, ["id", "payload_digest", "payload_bytes"], "left_anti").select("id").head(3):
+        raise ValueError(f"revisits don't agree with the responses they refer to: {[r['id'] for r in wrong]}")
+
+
+def describe(headers: dict, block: bytes) -> tuple:
     """(id, bytes, digest, type, refers to) of a response or revisit; raises if a response isn't what its digest says."""
     kind = headers["warc-type"]
-    if kind == "warcinfo":
-        return None
     head, _, payload = block.partition(b"\r\n\r\n")
     digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
     size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -238,7 +275,7 @@ def describe(headers: dict, block: bytes) -> tuple | None:
 
 
 def round_trip(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", url_column: str = "url", min_revisit: int = 1000, folder: str | None = None, options: Options = Options()) -> DataFrame:
-    """Writes all rows and reads the bundles back."""
+    """Writes all rows into bundles and reads them back by the index. With ``folder`` bundles and index stay there for the caller."""
     kind = pages.schema[id_column].dataType.simpleString()
     index = write(mark_revisits(pages, id_column, payload_column, url_column, min_revisit), folder, options)
     return read(index, kind).withColumnRenamed("id", id_column)
