@@ -209,6 +209,52 @@ def test_toxicity(spark):
     kinds = lambda x: {k for k, v in model.events(x).items() if v}
     assert kinds("you are a fool") == {"targeted"} and kinds("he said a real fool") == {"reported"} and kinds("not a fool") == {"negated"}
     assert kinds("i will kill you") == {"threat"} and kinds("the fool") == {"plain"} and kinds("kill, you") == set()
+    assert kinds("i will not kill you") == {"negated_threat"} and kinds("he said i will kill you") == {"reported_threat"}
+    assert kinds('he said: "i will kill you"') == {"reported_threat"} and kinds("he said, you fool") == {"reported"} and kinds("he left: you fool") == {"targeted"}
+    assert kinds("you will beat them at chess") == kinds("vous allez frapper") == set()
+    assert kinds("fool you are") == kinds("you are a fool") == {"targeted"} and kinds("a fool on a hill far from you") == {"plain"}
+    assert kinds("she isn’t a fool") == kinds("she isn't a fool") == {"negated"}
+    assert kinds("ich werde dich töten") == kinds("te voy a matar") == kinds("je vais te tuer") == kinds("they will hurt you") == {"threat"}
+    assert model.events("i will kill you")["threat"] > model.events("i will hurt you")["threat"] > 0
+    assert model.features("i will kill you")[2] > model.features("i will not kill you")[2] > 0
+
+
+def test_grammar_equals_cascade():
+    """The composed machine against its transducers run one after the other over whole clauses."""
+    rnd = random.Random(11)
+    symbols = [toxicity.INSULT, "threat1", "threat2", toxicity.FUTURE, toxicity.SECOND, toxicity.TARGET, toxicity.NEGATOR, toxicity.REPORT, toxicity.OTHER]
+    seen = set()
+    for _ in range(3000):
+        clause = [rnd.choice(symbols) for _ in range(rnd.randint(0, 9))]
+        marks, left = [], 0
+        for x in clause[::-1]:
+            marks.append(frozenset({"targeted"} if left and x == toxicity.INSULT else ()))
+            left = toxicity.REACH if x in (toxicity.SECOND, toxicity.TARGET) else max(0, left - 1)
+        tape = list(zip(clause, marks[::-1]))
+        for part in (toxicity.Negation(), toxicity.Reported(), toxicity.Targeted(), toxicity.Threat(), toxicity.Insult()):
+            state, then = 0, []
+            for x, own in tape:
+                state, x, own = part.step(state, x, own)
+                then.append((x, own))
+            tape = then
+        want = [(i, *x[1:]) for i, (x, _) in enumerate(tape) if x[0] == "event"]
+        assert toxicity.parse(clause) == want
+        seen |= {k for _, k, _ in want}
+    assert seen == set(toxicity.EVENTS)
+
+
+def test_all_evidence_is_learned(spark):
+    """No limit to the number of learned words: 6000 of them, each in 30 texts in another order."""
+    rnd = random.Random(12)
+    spell = lambda k: "".join("abcdefghijklmnopqrstuvwxyz"[k // 26**j % 26] for j in range(3))
+    bad = [[spell(7919 * (300 * g + k) % 17576) for k in range(300)] for g in range(20)]
+    rows, labels = [], []
+    for i in range(1200):
+        own = rnd.sample(bad[i // 2 % 20], 300) if i % 2 else [spell(rnd.randint(0, 17575)) + spell(rnd.randint(0, 17575)) for _ in range(60)]
+        rows.append((i, " ".join(own), "en", "s", 0))
+        labels.append((i, i % 2))
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(model.symbol(w)[0] == toxicity.INSULT for own in bad for w in own)
 
 
 def test_components(spark):

@@ -1,20 +1,22 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat verb, future, target, negator, report verb or other. Five transducers rewrite the symbols of a
-clause one after the other, and are composed into one machine whose states are made as they are met:
+Words become symbols: insult, threat verb of a grade, future word, second person, other target, negator, report verb or other. Transducers
+rewrite the symbols of a clause one after the other, and are composed into one machine whose states are made as they are met:
 
 - negation marks what stands up to ``REACH`` words after a negator;
-- reported speech marks what follows a report verb in its clause;
-- target marks insults that stand near a word for a person;
-- threat turns a future word, a threat verb and a target into one event;
+- reported speech marks what follows a report verb in its clause, or in the clause that quotes begin after it;
+- target marks insults that stand near a word for a person, before or after it: it runs from left to right in the cascade, and from right to left before it;
+- threat turns a future word, a threat verb and a target, or a future word, a target and a threat verb, into one event, with the marks
+  of its verb and the weight of the verb's grade; where the second person is the subject of the future word there is no threat;
 - insult turns an insult, with the marks that it has by then, into an event with the weight of its word.
 
-A clause has one score for each kind of event, the largest weight of it; isolated words never score by themselves. A text's
-features are the sums over its clauses, and a logistic model turns them into the score.
+A clause has one score for each kind of event, the largest weight of it. A text's features are the sums over its clauses, of each kind and
+of all with negated and reported ones at ``SPARED`` of their weight, and a logistic model turns them into the score.
 
 Fitting reads at most ``rows_per_label`` labelled rows of either label, chosen by a hash of the id. Of copies and near copies, told by the
-least hashes of their shingles, one is used. Insult words and stems (prefixes) are those far more frequent in texts of label 1 than chance
-allows. The logistic model is fitted to features measured with words learned from the other half of the sample.
+least hashes of their shingles, one is used. Insult words and stems (prefixes) are all those whose evidence, that they are more frequent in
+texts of label 1 than chance allows, is ``EVIDENCE`` nats at least. The logistic model is fitted to features measured with words learned from
+the other half of the sample; where the labels were sampled at different rates, its constant is corrected for them.
 
 Defined results: null and empty texts have no clause and get the score of no event; so does every text if nothing was learned. Copies
 score alike; rows that repeat an id are scored one by one; null labels are not learned from; extra columns are ignored; an empty table
@@ -34,32 +36,49 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import map_text, materialise, texts
 
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:,\n()\"“”«»]")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;:,\n()\"“”«»]")
 ENDS = frozenset('.!?;:,\n()"“”«»')
-INSULT, THREAT, FUTURE, TARGET, NEGATOR, REPORT, OTHER = "insult", "threat", "future", "target", "negator", "report", "other"
+#: Ends of clauses that may stand between a report verb and what it reports.
+QUOTES = frozenset(',:"“”«»')
+INSULT, FUTURE, SECOND, TARGET, NEGATOR, REPORT, OTHER = "insult", "future", "second", "target", "negator", "report", "other"
+#: Weights of threat verbs by grade.
+GRADES = {"threat1": 1.0, "threat2": 2.0}
 # Words of the grammar in English, German, French and Spanish.
 WORDS = {
-    THREAT: "kill hurt destroy beat punish crush töten verletzen schlagen vernichten tuer frapper détruire écraser matar golpear destruir aplastar",
-    FUTURE: "will shall gonna going i'll we'll werde werden wird vais va allons voy vamos va",
-    TARGET: "you your yours you're he him his she her they them du dich dir dein ihr euch sie tu toi te ton vous votre il elle tú ti usted ustedes él ella ellos",
-    NEGATOR: "not no never isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais aucun nunca jamás ningún",
-    REPORT: "said says say called calls wrote told quoted sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó",
+    "threat2": "kill murder shoot stab töten umbringen ermorden erschießen tuer assassiner abattre matar asesinar apuñalar",
+    "threat1": "hurt destroy beat punish crush hit smash burn verletzen schlagen vernichten verprügeln frapper détruire écraser brûler golpear destruir aplastar quemar",
+    FUTURE: "will shall gonna going i'll we'll they'll he'll she'll werde werden wird vais allons va vont voy vamos van",
+    SECOND: "you ye du ihr tu vous tú usted ustedes vosotros",
+    TARGET: "your yours you're yourself he him his she her they them their dich dir dein deine euch euer sie ihn ihm ihnen te toi ton ta votre vos il elle ils elles les ti os tus su él ella ellos ellas",
+    NEGATOR: "not no never isn't aren't wasn't weren't don't doesn't didn't won't can't nicht kein keine keinen nie niemals ne n'est pas jamais aucun nunca jamás ningún",
+    REPORT: "said says say called calls wrote writes told quoted claimed sagte sagt schrieb nannte behauptete dit écrit appelé affirmé dijo dice escribió llamó",
 }
 REACH = 3
 STEM = (4, 5, 6, 7, 8)
-EVENTS = ("plain", "targeted", "negated", "reported", "threat")
+EVENTS = ("plain", "targeted", "negated", "reported", "threat", "negated_threat", "reported_threat")
+#: Share of their weight at which negated and reported events count in the sum of all.
+SPARED = 0.3
 #: Least evidence for an insult, in nats, and least number of texts of label 1 with it.
 EVIDENCE, LEAST_TEXTS = 10.0, 4
 CACHE_WORDS = 300_000
 
 
+NO_MARKS: frozenset = frozenset()
+
+
 class Transducer:
-    """Reads (symbol, marks) and writes (symbol, marks); the state is an int and starts as 0."""
+    """Reads (symbol, marks) and writes (symbol, marks); the first state is 0. An event is written as the symbol ("event", kind, weight),
+    where no weight means that of the word."""
 
-    def step(self, state: int, symbol: str, marks: frozenset) -> tuple[int, str, frozenset]:
+    def step(self, state, symbol, marks: frozenset) -> tuple:
         raise NotImplementedError
 
 
+def spoken_of(marks: frozenset) -> str | None:
+    """Why what has these marks isn't said in earnest."""
+    return next((m for m in ("reported", "negated") if m in marks), None)
+
+
 class Negation(Transducer):
     def step(self, state, symbol, marks):
         if symbol == NEGATOR:
@@ -74,44 +93,81 @@ class Reported(Transducer):
 
 class Targeted(Transducer):
     def step(self, state, symbol, marks):
-        if symbol == TARGET:
+        if symbol in (SECOND, TARGET):
             return REACH, symbol, marks
         return max(0, state - 1), symbol, marks | {"targeted"} if state and symbol == INSULT else marks
 
 
 class Threat(Transducer):
-    """State 1: a future word came before; state 2: a threat verb after it."""
+    """States: 0; "theirs" after a second person that may be a subject, and after its future word; ("future", words left); ("object",
+    words left) where a target followed the future word or a clitic went before it; (grade, words left, why not in earnest) after a verb."""
 
     def step(self, state, symbol, marks):
-        if symbol == TARGET and state == 2:
-            return 0, "event:threat", marks
-        return (1 if symbol == FUTURE or state == 1 and symbol != THREAT else 2 if state else 0), symbol, marks
+        left = state[1] - 1 if isinstance(state, tuple) else 0
+        kind = state[0] if isinstance(state, tuple) else state
+        if symbol == FUTURE:
+            return ("theirs" if kind == "theirs" else ("object", REACH) if kind == "clitic" else ("future", REACH)), symbol, marks
+        if symbol in GRADES:
+            if kind == "object":
+                return 0, self.event(symbol, spoken_of(marks)), marks
+            return ((symbol, REACH, spoken_of(marks)) if kind == "future" else 0), symbol, marks
+        if symbol in (SECOND, TARGET):
+            if kind in GRADES:
+                return 0, self.event(kind, state[2]), marks
+            if kind == "future":
+                return ("object", REACH), symbol, marks
+            return ("theirs" if symbol == SECOND else ("clitic", 1)), symbol, marks
+        if left > 0 and kind != "clitic":
+            return (kind, left, *state[2:]), symbol, marks
+        return 0, symbol, marks
+
+    @staticmethod
+    def event(grade: str, why: str | None) -> tuple:
+        return "event", f"{why}_threat" if why else "threat", GRADES[grade]
 
 
 class Insult(Transducer):
     def step(self, state, symbol, marks):
         if symbol != INSULT:
             return 0, symbol, marks
-        return 0, "event:" + next((m for m in ("reported", "negated", "targeted") if m in marks), "plain"), marks
+        return 0, ("event", spoken_of(marks) or ("targeted" if "targeted" in marks else "plain"), None), marks
 
 
 class Composed:
-    """The cascade as one machine over symbols; states are tuples, and transitions are kept once met."""
+    """A cascade as one machine over symbols; states are tuples, and transitions are kept once met."""
 
-    def __init__(self, parts: tuple[Transducer, ...]):
+    def __init__(self, *parts: Transducer):
         self.parts, self.start, self.table = parts, (0,) * len(parts), {}
 
-    def step(self, state: tuple, symbol: str) -> tuple[tuple, str | None]:
-        if (found := self.table.get((state, symbol))) is None:
-            then, out, marks = [], symbol, frozenset()
+    def step(self, state: tuple, symbol, marks: frozenset = NO_MARKS) -> tuple:
+        if (found := self.table.get((state, symbol, marks))) is None:
+            then, out, now = [], symbol, marks
             for part, own in zip(self.parts, state):
-                now, out, marks = part.step(own, out, marks)
-                then.append(now)
-            found = self.table[state, symbol] = (tuple(then), out[6:] if out.startswith("event:") else None)
+                after, out, now = part.step(own, out, now)
+                then.append(after)
+            found = self.table[state, symbol, marks] = (tuple(then), out, now)
         return found
 
 
-GRAMMAR = Composed((Negation(), Reported(), Targeted(), Threat(), Insult()))
+BACKWARD = Composed(Targeted())
+GRAMMAR = Composed(Negation(), Reported(), Targeted(), Threat(), Insult())
+#: The state in which a clause begins that a report verb leads to.
+QUOTED = (0, 1, 0, 0, 0)
+
+
+def parse(symbols: list[str], quoted: bool = False) -> list[tuple[int, str, float | None]]:
+    """(place, kind, weight or None for that of the word) of the events of a clause."""
+    marks, state = [NO_MARKS] * len(symbols), BACKWARD.start
+    for i in range(len(symbols) - 1, -1, -1):
+        state, _, marks[i] = BACKWARD.step(state, symbols[i])
+    out, state = [], QUOTED if quoted else GRAMMAR.start
+    for i, symbol in enumerate(symbols):
+        state, found, _ = GRAMMAR.step(state, symbol, marks[i])
+        if found[0] == "event":
+            out.append((i, *found[1:]))
+    return out
+
+
 _CLASS = {w: kind for kind, text in WORDS.items() for w in text.split()}
 
 
@@ -138,10 +194,10 @@ class Model:
     def events(self, text: str | None) -> dict[str, float]:
         """Sum over clauses of the clause's score, by kind of event."""
         total = dict.fromkeys(EVENTS, 0.0)
-        tokens = TOKEN.findall((text or "").lower())
+        tokens = TOKEN.findall((text or "").lower().replace("’", "'"))
         read, known = self.symbol, self.cache
         symbols = [known.get(t) or read(t) for t in tokens]
-        hits = [i for i, s in enumerate(symbols) if s[0] is INSULT or s[0] is THREAT]
+        hits = [i for i, s in enumerate(symbols) if s[0] is INSULT or s[0] in GRADES]
         done = 0
         for hit in hits:
             if hit < done:
@@ -149,21 +205,23 @@ class Model:
             begin = hit
             while begin > done and tokens[begin - 1] not in ENDS:
                 begin -= 1
-            state, best, at = GRAMMAR.start, {}, begin
-            while at < len(tokens) and tokens[at] not in ENDS:
-                symbol, weight = symbols[at]
-                state, event = GRAMMAR.step(state, symbol)
-                if event:
-                    best[event] = max(best.get(event, 0.0), weight)
-                at += 1
-            done = at
-            for event, weight in best.items():
-                total[event] += weight
+            before = begin - 1
+            while before >= done and tokens[before] in QUOTES:
+                before -= 1
+            end = hit
+            while end < len(tokens) and tokens[end] not in ENDS:
+                end += 1
+            best: dict[str, float] = {}
+            for at, kind, weight in parse([s for s, _ in symbols[begin:end]], 0 <= before < begin - 1 and symbols[before][0] == REPORT):
+                best[kind] = max(best.get(kind, 0.0), symbols[begin + at][1] if weight is None else weight)
+            done = end
+            for kind, weight in best.items():
+                total[kind] += weight
         return total
 
     def features(self, text: str | None) -> list[float]:
         found = self.events(text)
-        whole = sum(found.values())
+        whole = sum(v * (SPARED if k.startswith(("negated", "reported")) else 1.0) for k, v in found.items())
         return [1.0, float(whole > 0), float(np.log1p(whole)), *(float(np.log1p(found[k])) for k in EVENTS)]
 
     def scores(self, parts: list[str | None]) -> np.ndarray:
@@ -186,7 +244,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 def items(text: str | None) -> set[str]:
     """The words of a text and their stems."""
-    words = {t for t in TOKEN.findall((text or "").lower()) if t not in ENDS and len(t) > 2}
+    words = {t for t in TOKEN.findall((text or "").lower().replace("’", "'")) if t not in ENDS and len(t) > 2}
     return words | {w[:n] + "*" for w in words for n in STEM if len(w) > n}
 
 
@@ -234,7 +292,15 @@ def weigh(rows: list, folds: tuple[int, ...], ones: int, zeros: int) -> dict[str
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows_per_label: int = 5000, candidates: int = 5000) -> Model:
+def enough(folds: tuple[int, ...], ones: int, zeros: int):
+    """The evidence rule of ``weigh`` as a column, over a0, b0, a1, b1; a little wider, so that the word that makes up a stem comes with it."""
+    a, b = (sum((F.col(f"{x}{k}") for k in folds), F.lit(0)) for x in "ab")
+    base, share = ones / max(1, ones + zeros), a / (a + b)
+    evidence = a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0)
+    return (a >= LEAST_TEXTS) & (share > base) & (evidence >= 0.85 * EVIDENCE)
+
+
+def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows_per_label: int = 5000) -> Model:
     """``labels`` has the ids and labels to learn from, and at most about ``2 * rows_per_label`` of its rows are used."""
     given = labels.select(labels[id_column].alias("id"), labels[label_column].cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     there = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -266,8 +332,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     ones, zeros = (sum(n for (_, y), n in size.items() if y == k) for k in (1, 0))
     if not ones or not zeros:
         return Model({}, np.array([4.0 if ones else -4.0, *none]))
-    a, b = F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1")
-    found = counted.where((a >= LEAST_TEXTS) & (a * zeros > 2 * b * ones)).orderBy(F.desc(a - b * ones / zeros), "item").limit(candidates).collect()
+    # What a half of the sample or the whole of it has evidence for.
+    rule = enough((0, 1), ones, zeros)
+    for k in (0, 1):
+        rule = rule | (enough((k,), size[k, 1], size[k, 0]) if size[k, 1] and size[k, 0] else F.lit(False))
+    found = counted.where((F.col("a0") + F.col("a1") > 0) & rule).collect()
     halves = [Model(weigh(found, (k,), size[k, 1], size[k, 0])) for k in (0, 1)]
     model = Model(weigh(found, (0, 1), ones, zeros))
 
@@ -278,6 +347,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     measured = sorted((r["y"], r["x"]) for r in map_text(sample, "text", measure, "y int, x array<double>").collect())
     model.coefficients = logistic(np.array([x for _, x in measured]), np.array([y for y, _ in measured]))
+    model.coefficients[0] -= np.log(min(1.0, rows_per_label / there[1]) / min(1.0, rows_per_label / there[0]))
     return model
 
 
