@@ -150,16 +150,59 @@ def test_generations_of_known_words():
             assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
 
 
-def test_plan_uses_each_piece_once():
-    rnd = random.Random(2)
-    for _ in range(30):
-        histogram = {rnd.randint(1, 64): rnd.randint(1, 50) for _ in range(rnd.randint(1, 40))}
-        used = {}
-        for members, times in packing.plan(histogram, 64):
-            assert sum(members) <= 64
+def best_fit_one_by_one(histogram, sequence):
+    gaps = [0] * (sequence + 1)
+    made = 0
+    for x in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        gap = next((g for g in range(x, sequence + 1) if gaps[g]), None)
+        if gap is None:
+            made, gap = made + 1, sequence
+        else:
+            gaps[gap] -= 1
+        gaps[gap - x] += 1
+    return made
+
+
+@pytest.mark.parametrize("sequence", [16, 64, 300, 2048])
+def test_plan_uses_each_piece_once_and_is_no_worse_than_best_fit(sequence):
+    rnd = random.Random(sequence)
+    for k in range(25):
+        low, high = sorted((rnd.randint(1, sequence), rnd.randint(1, sequence)))
+        histogram = {rnd.randint(low, high): rnd.randint(1, 12) for _ in range(rnd.randint(1, min(sequence, 150)))}
+        used, sequences = {}, 0
+        for members, times in packing.plan(histogram, sequence):
+            assert 0 < sum(members) <= sequence and times > 0
+            sequences += times
             for x in members:
                 used[x] = used.get(x, 0) + times
         assert used == histogram
+        bound = best_fit_one_by_one(histogram, sequence)
+        assert sequences <= bound
+        counts = np.bincount(list(histogram), list(histogram.values()), sequence + 1).astype(np.int64)
+        assert sum(n for _, n in packing.best_fit(counts, sequence)) == bound
+
+
+def test_complements_against_brute_force():
+    rnd = random.Random(6)
+    for _ in range(20):
+        counts = np.zeros(41, np.int64)
+        for _ in range(rnd.randint(1, 14)):
+            counts[rnd.randint(1, 40)] = rnd.randint(1, 3)
+        index = packing.Complements(counts)
+        for _ in range(60):
+            there = [x for x in range(41) for _ in range(index.counts[x])]
+            if not there:
+                break
+            total, held = rnd.randint(1, 40), (rnd.choice(there),)
+            there.remove(held[0])
+            exists = any(sum(c) == total for n in (1, 2, 3) for c in itertools.combinations(there, n))
+            found = index.find(total, held)
+            assert (found is not None) == exists
+            assert index.fitting(total, held) == max((x for x in there if x <= total), default=0)
+            if found:
+                assert sum(found) == total and all(found.count(x) <= there.count(x) for x in found)
+                if rnd.random() < 0.5:
+                    index.use(found, 1)
 
 
 def test_token_counts():

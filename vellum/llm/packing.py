@@ -1,10 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of bounded length, by exact complements of lengths.
 
 How full sequences get depends on lengths alone, so the plan is made from the histogram of lengths, which has as many rows as a
-sequence has tokens, whatever the input. From the longest length down, the plan looks up what fills the gap exactly: a single
-length, a pair or a triple of lengths with that sum, all still available, and uses each combination as often as its scarcest
-member allows. What finds no exact complement goes best-fit, longest first, into the open sequence with the smallest gap that
-holds it. The plan is a list of runs: pieces of one length with ranks r to r + n - 1 go to sequences s to s + n - 1 at one offset.
+sequence has tokens, whatever the input. An index by sum lists the single length, the pairs and the triples of lengths with that sum; it is
+built for a sum when the sum is first asked for, and combinations leave it for good once their members are used up. From
+the longest length down, the plan looks up what fills the gap exactly and is still available, the most even combination first, so that short pieces last.
+Where nothing does, the longest piece that fits goes in, and the gap that is left is looked up again. Each combination is used as often as its
+scarcest member allows. Plain best fit, longest first, is planned too, and the plan with fewer sequences is used. The plan is a list of
+runs: pieces of one length with ranks r to r + n - 1 go to sequences s to s + n - 1 at one offset.
 
 Pieces get their rank among those of their length without a shuffle of texts or ids and without a sort: tasks count as they
 tokenise, and the tasks' counts are added up by length. No length, however common, meets in one task.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -167,81 +170,113 @@ def pieces(documents: DataFrame, vocabulary: str, sequence: int = SEQUENCE, clos
 
 
 class Complements:
-    """Available lengths, and the single lengths, pairs and triples of them that make a sum."""
+    """By sum, the single length, the pairs and the triples of available lengths that make it. Counts only ever fall."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
-
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """The pair with that sum whose longer member is longest."""
-        half = total // 2
-        if half < 1:
-            return None
-        low = np.arange(1, half + 1)
-        there = (self.counts[low] > 0) & (self.counts[total - low] > 0)
-        if total % 2 == 0:
-            there[-1] = self.counts[half] > 1
-        found = np.flatnonzero(there)
-        return (total - int(low[found[0]]), int(low[found[0]])) if len(found) else None
-
-    def triple(self, total: int) -> tuple[int, int, int] | None:
-        for a in np.flatnonzero(self.counts[: max(total - 1, 0)])[::-1]:
-            if 3 * a < total:
-                return None
-            self.counts[a] -= 1
-            two = self.pair(total - int(a))
-            self.counts[a] += 1
-            if two:
-                return (int(a), *two)
+        self.counts, self.there = counts.tolist(), counts > 0
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[int]] = {}
+        self.alive = np.flatnonzero(counts).tolist()
+
+    def use(self, members: tuple[int, ...], times: int) -> None:
+        for x in members:
+            self.counts[x] -= times
+            if not self.counts[x]:
+                del self.alive[bisect_left(self.alive, x)]
+
+    def left(self, wanted: tuple[int, ...], held: tuple[int, ...]) -> bool:
+        """Whether the wanted lengths are available beside those that are held."""
+        for x in wanted:
+            if self.counts[x] < wanted.count(x) + held.count(x):
+                return False
+        return True
+
+    def pairs_of(self, total: int) -> list[tuple[int, int]]:
+        """The pairs with that sum that are available, the least even first."""
+        found = self.pairs.get(total)
+        if found is None:
+            low = np.arange(1, total // 2 + 1)
+            low = low[self.there[low] & self.there[total - low]]
+            found = self.pairs[total] = list(zip((total - low).tolist(), low.tolist()))
+        while found and not self.left(found[-1], ()):
+            found.pop()
+        return found
+
+    def pair(self, total: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        return next((x for x in reversed(self.pairs_of(total)) if self.left(x, held)), None)
+
+    def triple(self, total: int, held: tuple[int, ...]) -> tuple[int, int, int] | None:
+        found = self.triples.get(total)
+        if found is None:
+            first = np.flatnonzero(self.there[: max(total - 1, 0)])
+            found = self.triples[total] = first[np.argsort(-np.abs(3 * first - total), kind="stable")].tolist()
+        while found and not (self.counts[found[-1]] and self.pairs_of(total - found[-1])):
+            found.pop()
+        for first in reversed(found):
+            if self.left((first,), held) and (two := self.pair(total - first, (*held, first))):
+                return first, *two
         return None
 
-    def find(self, total: int) -> tuple[int, ...] | None:
-        if total > 0 and self.counts[total] > 0:
+    def find(self, total: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        if self.left((total,), held):
             return (total,)
-        return self.pair(total) or self.triple(total)
+        return self.pair(total, held) or self.triple(total, held)
+
+    def fitting(self, limit: int, held: tuple[int, ...]) -> int:
+        """The longest available length up to ``limit``, or 0."""
+        at = bisect_right(self.alive, limit) - 1
+        while at >= 0 and not self.left((self.alive[at],), held):
+            at -= 1
+        return self.alive[at] if at >= 0 else 0
+
+
+def complemented(counts: np.ndarray, sequence: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan by exact complements: [(lengths, sequences), ...]."""
+    made, index = [], Complements(counts)
+    for length in range(sequence, 0, -1):
+        while index.counts[length]:
+            members, gap = (length,), sequence - length
+            while gap:
+                if found := index.find(gap, members):
+                    members += found
+                    break
+                if not (longest := index.fitting(gap, members)):
+                    break
+                members += (longest,)
+                gap -= longest
+            times = min(index.counts[x] // members.count(x) for x in set(members))
+            index.use(members, times)
+            made.append((members, times))
+    return made
+
+
+def best_fit(counts: np.ndarray, sequence: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan by best fit, longest first."""
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[length])
+        while n:
+            gap = min((g for g, x in open_.items() if g >= length and x), default=sequence)
+            members, there = open_[gap].pop() if open_[gap] else ((), n)
+            each = gap // length
+            full = min(there, n // each)
+            if full:
+                open_[gap - each * length].append((members + (length,) * each, full))
+                n, there = n - full * each, there - full
+            if n and there and not full:
+                open_[gap - n * length].append((members + (length,) * n, 1))
+                n, there = 0, there - 1
+            if there and members:
+                open_[gap].append((members, there))
+    return [x for group in open_.values() for x in group]
 
 
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Which lengths share a sequence, and how many sequences do so: [(lengths, sequences), ...]."""
+    """Which lengths share a sequence, and how many sequences do so: [(lengths, sequences), ...]; the better of the two plans."""
     counts = np.zeros(sequence + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    made = [((sequence,), int(counts[sequence]))] if counts[sequence] else []
-    counts[sequence] = 0
-    index, left = Complements(counts), defaultdict(int)
-    for length in range(sequence - 1, 0, -1):
-        while counts[length]:
-            counts[length] -= 1
-            found = index.find(sequence - length)
-            counts[length] += 1
-            if not found:
-                left[length] = int(counts[length])
-                counts[length] = 0
-                break
-            members = (length, *found)
-            times = min(int(counts[x]) // members.count(x) for x in set(members))
-            for x in members:
-                counts[x] -= times
-            made.append((members, times))
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
-    for length in sorted(left, reverse=True):
-        n = left[length]
-        while n:
-            gap = min((g for g, x in open_.items() if g >= length and x), default=None)
-            if gap is None:
-                each = sequence // length
-                if n >= each:
-                    open_[sequence - each * length].append(((length,) * each, n // each))
-                if n % each:
-                    open_[sequence - n % each * length].append(((length,) * (n % each), 1))
-                break
-            members, there = open_[gap].pop()
-            times = min(n, there)
-            if there > times:
-                open_[gap].append((members, there - times))
-            open_[gap - length].append(((*members, length), times))
-            n -= times
-    return made + [x for group in open_.values() for x in group]
+    return min((complemented(counts, sequence), best_fit(counts, sequence)), key=lambda x: sum(n for _, n in x))
 
 
 def runs(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
