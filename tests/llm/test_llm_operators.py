@@ -13,6 +13,7 @@ pytest.importorskip("vellum.llm")
 import public_tokenizers as P  # noqa: E402
 
 from vellum.llm import bpe_scan, html_blocks, itq_dedup, language_id, packing, quality_rules, simhash_tiles, token_counts, toxicity, warc_bundles  # noqa: E402
+from vellum.llm.common import crc_mod  # noqa: E402
 from vellum.llm.components import components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -233,6 +234,68 @@ def test_language_id(spark):
     assert {r["doc_id"] for r in language_id.keep_documents(docs, model).collect()} == {*range(60), 102}
 
 
+def test_language_id_against_brute_force(spark):
+    """A model of plain counts and loops over words, by its definition, on texts of several scripts."""
+    rnd = random.Random(13)
+    stems = {"en": "the and river house walking", "de": "der und fluß häuser gehend", "hi": "नमस्ते दुनिया किताब हिन्दी", "th": "สวัสดี ที่นี่ ภาษาไทย"}
+    rows = [(i, " ".join(rnd.choice(stems[x].split()) + rnd.choice(["", "", "en", "ी"]) for _ in range(8)), x, "s", 0) for i in range(120) for x in [list(stems)[i % 4]]]
+    strange = [(500, "wandering wälder hous", None, "s", 0), (501, "किताबें xqxq", None, "s", 0), (502, "ที่ 77 !", None, "s", 0), (503, "ΩΩ", None, "s", 0), (504, "і", None, "s", 0)]
+    docs = spark.createDataFrame(rows + strange + [rows[0], (None, rows[1][1], "en", "s", 0)], SCHEMA)
+    for least in (1, 2):
+        model = language_id.fit(docs, least_count=least)
+        learned = rows + [rows[0], (None, rows[1][1], "en", "s", 0)]
+        names = sorted(stems)
+        counts = [{x: {} for x in names} for _ in range(6)]
+        for _, text, lang, *_ in learned:
+            for w in text.split():
+                for n in range(6):
+                    marked = f"\x02{w}\x03" if n > 1 else w
+                    for g in [w] if n == 0 else [marked[i : i + n] for i in range(len(marked) - n + 1)]:
+                        counts[n][lang][g] = counts[n][lang].get(g, 0) + 1
+        kept = [{g for x in names for g in counts[n][x] if n == 1 or sum(counts[n][y].get(g, 0) for y in names) >= least} for n in range(6)]
+
+        def says(n, g):
+            logs = [np.log((counts[n][x].get(g, 0) + language_id.ALPHA) / (sum(counts[n][x].values()) + language_id.ALPHA * len(kept[n]))) for x in names]
+            return np.array(logs) - np.mean(logs)
+
+        found = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+        for i, text, *_ in rows + strange:
+            sums, size = np.zeros(4), 0
+            for w in "".join(c if c.isalpha() or __import__("unicodedata").category(c)[0] == "M" else " " for c in text.lower()).split():
+                size += 1
+                if w in kept[0]:
+                    sums += says(0, w)
+                    continue
+                for n in range(5, 0, -1):
+                    marked = f"\x02{w}\x03" if n > 1 else w
+                    own = [g for g in (marked[k : k + n] for k in range(len(marked) - n + 1)) if g in kept[n]]
+                    if own:
+                        sums += sum(says(n, g) for g in own) / len(own) * language_id.BACKOFF ** (6 - n)
+                        break
+            chances = np.exp((sums - sums.max()) / np.sqrt(size))
+            assert found[i]["lang_pred"] == names[int(np.argmax(sums))] and found[i]["score"] == pytest.approx(chances.max() / chances.sum(), abs=1e-4), text
+    # Ties go to the language that sorts first, deeper backoff tells with less certainty.
+    assert found[503]["lang_pred"] == "de" and found[503]["score"] == pytest.approx(0.25)
+    known, unknown = (model.predict([x])[1][0] for x in ("the", "rivex"))
+    assert known > unknown
+    assert language_id.words_of("किताबें, ที่นี่ naïve") == ["किताबें", "ที่นี่", "naïve"] and language_id.words_of("\u0301 1_2") == []
+
+
+def test_language_model_has_no_limit_of_words(spark):
+    words = ["".join("abcdefghijklmnop"[k >> 4 * j & 15] for j in range(5)) for k in range(60_000)]
+    rows = [(i, " ".join(words[i % 60 * 1000 : i % 60 * 1000 + 1000]), "en", "s", 0) for i in range(120)]
+    model = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert len(model.words) == 60_000 and sum(len(x) == 2 for x in model.grams) >= 250
+
+
+def test_language_held_out(spark):
+    """Held-out accuracy on the given table; the fit is by the operator."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(language_id.learnable(docs))
+    told = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where((crc_mod(F.col("doc_id"), 4) == 2) & F.col("lang").isNotNull() & (F.col("lang_pred") != "und"))
+    assert told.where("lang = lang_pred").count() >= 0.99 * told.count() > 0
+
+
 def test_toxicity(spark):
     rnd = random.Random(1)
     plain = "table chair house river stone green walk open light paper".split()

@@ -1,12 +1,16 @@
 """Language identification, words first, with backoff to ever shorter character n-grams.
 
 The model holds, for each known word, its smoothed log frequency in each language. A word that isn't known is scored by its character
-5-grams, the ends of the word marked, as far as they are known; if none is, by its 4-grams, and so on down to single characters. Each
-step down costs the same in all languages. A word that has no known character says nothing. A text's score for a language is the
+5-grams, the ends of the word marked, as far as they are known; if none is, by its 4-grams, and so on down to single characters. What a word
+says is by how much its log frequency in each language differs from their mean; a step down to shorter n-grams leaves ``BACKOFF`` of that, so a text
+known by short n-grams only is told with less certainty, and known words outweigh unknown ones. A word that has no known character says nothing. A text's score for a language is the
 sum over its words; the probabilities are those of the sums divided by the square root of the number of words.
 
-Fitting reads a sample of rows that is bounded for each language (``rows_per_language``, chosen by a hash of the id); counts of words and n-grams are
-summed before the shuffle, and the most frequent ``vocabulary`` words and as many n-grams make the model, whose size is thereby bounded.
+A word is a run of letters and of the marks that combine with them.
+
+Fitting reads a sample of rows that is bounded for each language (``rows_per_language``, chosen by a hash of the id); counts of words and
+n-grams are summed before the shuffle. All words and n-grams are used that occur ``least_count`` times at least in the sample, and all single characters:
+what was met once has no frequency to speak of. Nothing else is cut, so the model's size is bounded by the sample.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0, and so is every text if there was nothing to learn
 from. Ties go to the language that sorts first. Copies have equal results; rows that repeat an id are judged one by one; extra columns
@@ -16,51 +20,85 @@ are ignored by ``identify`` and kept by ``keep_documents``; an empty table gives
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import crc_mod, map_text, texts
+from vellum.llm.common import crc_mod, map_text, materialise, texts
 
 WORD = re.compile(r"[^\W\d_]+")
+#: From here on there are marks that combine with letters.
+_LATE = re.compile("[\u0300-\U0010ffff]")
 UNKNOWN = "und"
 LONGEST = 5
-#: Log of what one step down to shorter n-grams costs.
-STEP = float(np.log(0.4))
+#: Share of what it says that is left to a word at each step down.
+BACKOFF = 0.7
 ALPHA = 0.5
 CACHE_WORDS = 300_000
 
 
+@lru_cache(1)
+def marked_word() -> re.Pattern:
+    """Letters with the marks that combine with them, which ``\\w`` doesn't have."""
+    marks = "".join(map(chr, (c for c in range(0x300, sys.maxunicode) if unicodedata.category(chr(c))[0] == "M")))
+    return re.compile(rf"[^\W\d_](?:[^\W\d_]|[{marks}\u200c\u200d])*")
+
+
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case; none if the text has no letter."""
-    found = WORD.findall((text or "").lower())
-    return found if any(c.isalpha() for w in found for c in w) else []
+    """Runs of letters in lower case."""
+    text = (text or "").lower()
+    return (marked_word() if _LATE.search(text) else WORD).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
+    """The n-grams of a word, its ends marked unless n is 1; none if it is shorter."""
     marked = f"\x02{word}\x03" if n > 1 else word
-    return [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
 @dataclass
 class Model:
+    """scores has a row for each word and n-gram: log frequencies in the languages, less their mean."""
+
     languages: list[str]
-    rows: dict[tuple[int, str], int]  # (0, word) or (n, gram): row of scores
-    scores: np.ndarray  # log frequencies, a column for each language
+    words: dict[str, int]
+    grams: dict[str, int]
+    scores: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
     kept: list[np.ndarray] = field(default_factory=list)
 
-    def word(self, word: str) -> np.ndarray:
-        if (row := self.rows.get((0, word))) is not None:
-            return self.scores[row]
-        for n in range(LONGEST, 0, -1):
-            if known := [row for x in grams(word, n) if (row := self.rows.get((n, x))) is not None]:
-                return self.scores[known].mean(axis=0) + STEP * (LONGEST + 1 - n)
-        return np.zeros(len(self.languages), self.scores.dtype)
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """What each word says of each language."""
+        rows: list[int] = []
+        sizes, shares = [], []
+        known, parts = self.words, self.grams
+        for word in words:
+            if (row := known.get(word)) is not None:
+                rows.append(row)
+                sizes.append(1)
+                shares.append(1.0)
+                continue
+            found: list[int] = []
+            for n in range(LONGEST, 0, -1):
+                if found := [row for x in grams(word, n) if (row := parts.get(x)) is not None]:
+                    break
+            rows += found
+            sizes.append(len(found))
+            shares.append(BACKOFF ** (LONGEST + 1 - n) / max(1, len(found)))
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            size = np.array(sizes)
+            begins = (np.cumsum(size) - size)[some]
+            out[some] = np.add.reduceat(self.scores[np.array(rows)], begins, axis=0) * np.array(shares, np.float32)[some, None]
+        return out
 
     def predict(self, parts: list[str | None]) -> tuple[list[str], np.ndarray]:
         own = [words_of(x) for x in parts]
@@ -71,15 +109,12 @@ class Model:
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.kept = {}, []
         coded = pa.array([w for x in own for w in x], pa.large_string()).dictionary_encode()
-        numbers, fresh = [], []
-        for w in coded.dictionary.to_pylist():
-            if (number := self.cache.get(w)) is None:
-                number = self.cache[w] = len(self.cache)
-                fresh.append(self.word(w))
-            numbers.append(number)
+        different = coded.dictionary.to_pylist()
+        fresh = [w for w in different if w not in self.cache]
         if fresh:
-            self.kept = [np.concatenate([*self.kept, np.stack(fresh)])]
-        vectors = self.kept[0][np.array(numbers)][coded.indices.to_numpy()]
+            self.cache.update(zip(fresh, range(len(self.cache), len(self.cache) + len(fresh))))
+            self.kept = [np.concatenate([*self.kept, self.vectors(fresh)])]
+        vectors = self.kept[0][np.array([self.cache[w] for w in different])][coded.indices.to_numpy()]
         at = np.flatnonzero(sizes)
         sums = np.add.reduceat(vectors.astype(np.float64), (np.cumsum(sizes) - sizes)[at], axis=0)
         scaled = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(sizes[at])[:, None]
@@ -109,10 +144,13 @@ def build(rows: list[tuple[int, str, dict[str, int]]], totals: dict[tuple[str, i
         own = order == n
         total = np.array([totals.get((x, n), 0) for x in languages], np.float64)
         scores[own] = np.log((counts[own] + ALPHA) / (total + ALPHA * max(1, own.sum())))
-    return Model(languages, {(n, x): i for i, (n, x, _) in enumerate(rows)}, scores.astype(np.float32))
+    if languages:
+        scores -= scores.mean(axis=1, keepdims=True)
+    by_kind = ({x: i for i, (n, x, _) in enumerate(rows) if (n > 0) == k} for k in (False, True))
+    return Model(languages, *by_kind, scores.astype(np.float32))
 
 
-def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", rows_per_language: int = 2000, vocabulary: int = 50_000) -> Model:
+def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", rows_per_language: int = 2000, least_count: int = 2) -> Model:
     """A model from the rows whose language is not null."""
     given = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text"), documents[language_column].alias("lang")).where("lang is not null")
     there = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -131,13 +169,10 @@ def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             count_text(language, own, counts)
         return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in counts], pa.string()), "n": pa.array([k[1] for k in counts], pa.int32()), "gram": pa.array([k[2] for k in counts], pa.string()), "c": pa.array(list(counts.values()), pa.int64())})
 
-    counted = map_text(sample, "text", work, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).persist()
+    counted = materialise(map_text(sample, "text", work, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "counts")
     totals = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
-    whole = counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where("total >= 2 or n = 1")
-    rows = []
-    for kind in (F.col("n") == 0, F.col("n") > 0):
-        rows += [(r["n"], r["gram"], r["by"]) for r in whole.where(kind).orderBy(F.desc("total"), "n", "gram").limit(vocabulary).collect()]
-    counted.unpersist()
+    whole = counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
+    rows = sorted((r["n"], r["gram"], r["by"]) for r in whole.where((F.col("total") >= least_count) | (F.col("n") == 1)).select("n", "gram", "by").collect())
     return build(rows, totals)
 
 
