@@ -31,15 +31,30 @@ from vellum.llm.bpe_scan import ragged
 from vellum.llm.common import materialise, slices, texts
 
 SEQUENCE = 2048
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 SLICE = 4 << 20
 PARTING = "\x1e"
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII symbols that make a pre-token of their own after a letter, and ASCII letters.
+_SYMBOLS, _LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+_SYMBOLS[np.frombuffer(b".,!?;:*%$#&()[]{}=+-_/\\~^`@\"", np.uint8)] = True
+_LETTERS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = True
+
+
+def symbols_begin(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where the symbols at the end of each run raw[first:last] begin if they follow a letter of ASCII or Latin-1, else its end."""
+    other = np.flatnonzero(~_SYMBOLS[raw])
+    at = np.searchsorted(other, last) - 1
+    at = np.where(at >= 0, other[np.maximum(at, 0)], -1) if len(other) else np.full(len(last), -1)
+    here, before = raw[np.maximum(at, 0)], raw[np.maximum(at - 1, 0)]
+    letter = _LETTERS[here] | ((before == 0xC3) & (here >= 0x80) & (here < 0xC0) & (here != 0x97) & (here != 0xB7) & (at > first))
+    return np.where((at >= first) & letter, at + 1, last)
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pre-tokens never cross ASCII white space: each different run between blanks is encoded once."""
+    """Ids of texts by a tokenizer whose pre-tokens never cross ASCII white space, nor go from a letter to a symbol: each different run
+    between blanks is encoded once, symbols at its end apart."""
 
     def __init__(self, path: str, closing: int = 0, cache: int = CACHE_WORDS):
         import os
@@ -107,10 +122,16 @@ class WordTokenizer:
         first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
         last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
         ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in parts), np.int64, len(parts)))
-        words = np.diff(np.concatenate([[0], np.searchsorted(first, ends)]))
+        cut = symbols_begin(raw, first, last)
+        runs_ = 1 + (cut < last)
+        words = np.diff(np.concatenate([[0], np.cumsum(runs_)])[np.concatenate([[0], np.searchsorted(first, ends)])])
         packed = raw[~blank]
-        offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int64)
-        array = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+        # Ends of the runs of letters and of symbols among the bytes that are no blanks.
+        offsets, stops = np.zeros(int(runs_.sum()) + 1, np.int64), np.cumsum(last - first)
+        offsets[np.cumsum(runs_)] = stops
+        two = runs_ == 2
+        offsets[np.cumsum(runs_)[two] - 1] = (stops - (last - cut))[two]
+        array = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
         coded = array.dictionary_encode()
         number = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         _, flat, begin, count = self.held
