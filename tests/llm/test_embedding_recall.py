@@ -37,8 +37,8 @@ def test_shared_direction(spark, shared):
 @pytest.mark.parametrize("n", [1 << 18, (1 << 18) + 1, 1 << 28])
 @pytest.mark.parametrize("size", [16, 32, 64])
 def test_plan_of_any_size(spark, monkeypatch, n, size):
-    plan = itq_dedup.plan_tables(n, min(64, size))
-    monkeypatch.setattr(itq_dedup, "plan_tables", lambda m, bits: plan)
+    width = itq_dedup.plan_width(n)
+    monkeypatch.setattr(itq_dedup, "plan_width", lambda m: width)
     found = recall(spark, planted(700, size, 0))
-    print("recall", n, size, plan, found)
+    print("recall", n, size, width, found)
     assert found >= 0.97

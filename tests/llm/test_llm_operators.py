@@ -382,6 +382,19 @@ def test_components(spark):
     assert found == {x: root(x) for x in parent if root(x) != x}
 
 
+def plain_fingerprint(text):
+    """The fingerprint by its definition, bit by bit."""
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64(" ".join(words[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 2))]
+    return sum((2 * sum(x >> k & 1 for x in hashes) > len(hashes)) << k for k in range(64))
+
+
 def test_simhash(spark, documents):
     rnd = random.Random(9)
     words = [f"w{k}" for k in range(400)]
@@ -390,6 +403,8 @@ def test_simhash(spark, documents):
     docs = documents.unionByName(documents.sparkSession.createDataFrame([(2000 + i, x, "en", "s", 0) for i, x in enumerate(base + near)], SCHEMA))
     rows = [r for r in simhash_tiles.near_duplicates(docs).collect() if r["doc_id"] is not None]
     prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
+    own = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert prints == {i: plain_fingerprint(own[i]) for i in prints}
     ids = sorted(prints)
     parent = {i: i for i in ids}
 
@@ -407,35 +422,73 @@ def test_simhash(spark, documents):
     assert {i for i in left if i is not None} == {i for i in ids if root(i) == i} and None in left
 
 
-def test_simhash_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash_tiles, "BLOCK", 1)
+def linked(prints):
+    """The smallest place reachable from each place by links within three bits."""
+    least = np.arange(len(prints))
+    near = [np.flatnonzero(np.bitwise_count(prints.view(np.uint64) ^ np.uint64(int(x) & (1 << 64) - 1)) <= 3) for x in prints]
+    while True:
+        then = np.array([least[x].min() for x in near])
+        if (then == least).all():
+            return least
+        least = then
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_simhash_blocks(spark, monkeypatch, even):
+    """Blocks of a few rows; with all fingerprints in one tile and in the tiles around it, and spread out."""
     rnd = np.random.default_rng(1)
-    prints = rnd.integers(0, 1 << 62, 700)
-    prints = np.concatenate([prints, prints[:300] ^ 5, prints[:300] ^ 1027])
+    if even:
+        prints = rnd.integers(0, 1 << 62, 700)
+    else:
+        quarter = lambda: sum(1 << int(k) for k in rnd.choice(16, 8, replace=False))
+        prints = np.array([sum(quarter() << 16 * k for k in range(4)) for _ in range(700)], np.uint64).view(np.int64)
+    swapped = prints[:300] ^ np.where((prints[:300] & 3 == 1) | (prints[:300] & 3 == 2), 3, 0)
+    prints = np.unique(np.concatenate([prints, swapped, prints[:300] ^ 5, prints[300:500] ^ 1027, prints[:100] ^ 1]))
+    want = linked(prints)
     frame = spark.createDataFrame([(int(f), i) for i, f in enumerate(prints)], "fp long, rep long")
-    found = {r["node"]: r["component"] for r in components(simhash_tiles.links(frame)).collect()}
-    assert found == {700 + i: i for i in range(300)} | {1000 + i: i for i in range(300)}
+    for block, guests in ((7, 3), (1000, 20)):
+        monkeypatch.setattr(simhash_tiles, "BLOCK", block)
+        monkeypatch.setattr(simhash_tiles, "GUESTS", guests)
+        found = {r["node"]: r["component"] for r in components(simhash_tiles.links(frame)).collect()}
+        assert found == {i: int(x) for i, x in enumerate(want) if x != i}
+
+
+def test_sparse_tiles_are_sent_once():
+    counts = np.zeros((17,) * 4, np.int64)
+    counts[8, 8, 8, 8], counts[8, 8, 8, 7], counts[1, 1, 1, 1] = 10 * simhash_tiles.BLOCK, 5, 5
+    homes, visits, dealt = simhash_tiles.divide(counts, 3)
+    assert homes[8, 8, 8, 8] == 10 and homes[1, 1, 1, 1] == homes[8, 8, 8, 7] == 1 and visits[1, 1, 1, 1] == 0
+    # Ten blocks at home meet one another and the guests; the rest is sent once.
+    assert dealt < 15 * counts.sum()
 
 
-def test_embeddings(spark, monkeypatch):
+@pytest.mark.parametrize("width", [8, 14])
+def test_embeddings(spark, monkeypatch, width):
+    """Blocks of few rows, clusters, copies, two lengths of vectors and vectors without links, against brute force."""
     monkeypatch.setattr(itq_dedup, "BLOCK", 40)
+    monkeypatch.setattr(itq_dedup, "plan_width", lambda n: width)
     rnd = np.random.default_rng(7)
     x = rnd.normal(size=(600, 32))
     x[100:200] = x[:100] + 0.1 * rnd.normal(size=(100, 32))
     x[200:350] = x[0] + 0.05 * rnd.normal(size=(150, 32))
     x[350:380] = x[1]
+    few = rnd.normal(size=(6, 5))
+    few[3:] = 2 * few[:3]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(600, None), (601, []), (602, [0.0] * 32), (603, [float("nan")] * 32), (604, [None] * 32), (605, [1.0] * 3)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for tables in ((8, 0), (16, 1)):
-        monkeypatch.setattr(itq_dedup, "plan_tables", lambda n, bits, t=tables: t)
-        found = {r["vec_id"]: r for r in itq_dedup.near_duplicates(frame).collect()}
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        near = unit @ unit.T >= 0.95
-        want = near.sum(axis=1) - 1
-        got = np.array([found[i]["n_links"] for i in range(600)])
-        assert (got <= want).all() and got.sum() >= 0.9 * want.sum() and len(found) == 606
-        assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i and found[i]["kept"] for i in range(600, 606))
-    assert sum(found[i]["kept"] for i in range(600)) <= 600 - 30
+    rows += [(700 + i, r.tolist()) for i, r in enumerate(few)] + [(None, [1.0] * 32)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, id int, v int")
+    got = itq_dedup.near_duplicates(frame).collect()
+    found = {r["vec_id"]: r for r in got}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    want = near.sum(axis=1) - 1
+    links = np.array([found[i]["n_links"] for i in range(600)])
+    assert (links <= want).all() and links.sum() >= 0.98 * want.sum() and len(got) == 613
+    lone = np.arange(101, 200)
+    assert links[lone].sum() >= 0.95 * want[lone].sum()
+    assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i and found[i]["kept"] for i in range(600, 606))
+    assert all(found[i]["n_links"] == 1 and found[i]["component_id"] == 700 + i % 700 % 3 for i in range(700, 706))
+    assert found[None]["component_id"] is None and sum(found[i]["kept"] for i in range(600)) <= 600 - 30
 
 
 def test_warc(spark, tmp_path):
@@ -484,6 +537,58 @@ def test_html_blocks():
     assert html_blocks.main_text("<" * 3000 + "a" * 10) is not None
 
 
+def test_html_neighbours_decide():
+    text = lambda n, w="word": " ".join([w] * n)
+    tree = html_blocks.tree()
+    x, y = html_blocks.table()
+    assert all(html_blocks.classify(a, tree) == b for a, b in zip(x, y)) and len(y) < 250
+    keeps = lambda *f: html_blocks.classify(f, tree)
+    # The same block with other neighbours: (words, links, before, after, place) flips its verdict.
+    for words, links, place, good, bad in (
+        (4, 1.0, html_blocks.INSIDE, (40, 0.0, 50, 0.0), (3, 1.0, 4, 1.0)),
+        (5, 0.0, html_blocks.NO_ARTICLE, (60, 0.0, 70, 0.0), (2, 1.0, 3, 1.0)),
+        (6, 1.0, html_blocks.NO_ARTICLE, (80, 0.0, 60, 0.0), (2, 1.0, 2, 1.0)),
+        (70, 0.0, html_blocks.OUTSIDE, (90, 0.0, 80, 0.0), (3, 1.0, 4, 1.0)),
+        (50, 0.0, html_blocks.HINTED, (60, 0.0, 60, 0.0), (2, 1.0, 3, 0.0)),
+    ):
+        assert keeps(words, links, *good, place) and not keeps(words, links, *bad, place), (words, links, place)
+    # Whatever the neighbours: text in the article is content, and parts apart are not.
+    for words, before, after in itertools.product((1, 3, 9, 30, 200), (0, 2, 20, 90), (0, 2, 20, 90)):
+        for linked in (0.0, 1.0):
+            assert keeps(words, 0.0, before, linked, after, linked, html_blocks.INSIDE) and not keeps(words, 0.0, before, linked, after, linked, html_blocks.APART)
+    # The same on pages: a linked item in running text, a paragraph in a div of class form, a body that goes on after its article.
+    page = f"<nav><a>home</a></nav><article><h1>Title of it</h1><p>{text(60)}</p><ul><li><a href=x>a linked item</a></li></ul><p>{text(50)}</p></article>"
+    assert "a linked item" in html_blocks.main_text(page)
+    assert "a linked item" not in html_blocks.main_text(page.replace("</li>", "</li><li><a>more</a></li><li><a>news</a></li>").replace(f"<p>{text(60)}</p>", "<a>x</a>"))
+    assert html_blocks.main_text(f"<article><p>{text(60)}</p><div class=form><p>{text(50, 'in')}</p></div><p>{text(60)}</p></article>").count("in") == 50
+    assert html_blocks.main_text(f"<article><p>{text(60)}</p></article><form><p>Name</p></form><div><p>{text(150, 'more')}</p><p>{text(140, 'more')}</p></div>").count("more") == 290
+    # An article in an aside that ends is a teaser.
+    assert html_blocks.main_text(f"<article><p>{text(60)}</p></article><aside><article><p>{text(60, 'teaser')}</p></article></aside>") == text(60)
+
+
+def test_html_work_grows_with_the_page():
+    import time
+
+    def took(n):
+        page = "<div>" * n + "</section>" * 3 * n + "<aside><article>" * n
+        return min(_timed(time, page) for _ in range(3))
+
+    def _timed(time, page):
+        begun = time.perf_counter()
+        html_blocks.main_text(page)
+        return time.perf_counter() - begun
+
+    assert took(16_000) < 12 * took(4000) + 0.2
+
+
+def test_html_rows(spark):
+    """Against plain loops over rows with ties, repeated ids, nulls, empty pages and clashing columns."""
+    rows = [(1, "u", "<article><p>one two</p></article>", "t", 5, "h"), (1, "u", "<article><p>one two</p></article>", "t", 5, "h"), (2, None, None, None, 0, "x"), (None, "v", "", None, 0, ""), (3, "w", "<p>x</p>" * 20_000, "", 1, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long, __html string")
+    found = sorted((str(r["page_id"]), r["url"], r["text"], r["n_chars"]) for r in html_blocks.extract(pages).collect())
+    assert found == sorted((str(i), u, html_blocks.main_text(h), len(html_blocks.main_text(h))) for i, u, h, *_ in rows)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(3)

@@ -5,8 +5,10 @@ tiles by the population counts of their four quarters. Flipping a bit changes on
 that differ in r bits lie in tiles whose counts differ by r in total at most; all other pairs of tiles are skipped.
 What is left is compared with exclusive-or and bit counts, every pair once, and no link is lost.
 
-A tile pair is compared where one of the two tiles is at home; fingerprints are sent to the tiles they may have links in.
-Tiles above a bounded number of rows are split into blocks. Tasks return a spanning forest of the links they find, not the pairs. Copies share a
+A tile pair is compared where one of the two tiles is at home; fingerprints are sent to the tiles they may have links in. Tiles are
+counted first (there are 17 to the power of 4 at most): a tile with more than ``BLOCK`` fingerprints at home or ``GUESTS`` from other tiles is split
+into that many blocks of either kind, and only its fingerprints are sent to several cells. So a cell is bounded, however unevenly tiles are filled, and
+a fingerprint in sparse tiles is sent once to each. Tasks return a spanning forest of the links they find, not the pairs. Copies share a
 fingerprint, which is compared once, so a group of copies of any size is one row there.
 
 Defined results: null and empty texts and texts without words have the fingerprint zero, linked like any other. Texts of fewer words than a
@@ -27,8 +29,8 @@ from vellum.llm.common import map_text, materialise, texts
 from vellum.llm.components import Forest, components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Rows at home in a block, and rows that a task is dealt at the mean.
-BLOCK, DEALT = 8192, 500_000
+#: Fingerprints at home in a block, those from other tiles in a block, and rows that a task is dealt at the mean.
+BLOCK, GUESTS, DEALT = 16_384, 65_536, 500_000
 #: Pairs that are held at a time.
 PAIRS = 2 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -85,22 +87,49 @@ def compare(home: np.ndarray, other: np.ndarray | None, radius: int):
             yield a, b
 
 
+def divide(counts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Blocks at home and blocks of guests by tile, an axis for each quarter, and the rows that are dealt to cells."""
+    guests = np.zeros_like(counts)
+    for d in offsets(radius):
+        to, of = (tuple(slice(max(0, s * x), 17 + min(0, s * x)) for x in d) for s in (1, -1))
+        guests[to] += counts[of]
+    homes, visits = -(-counts // BLOCK), -(-guests // GUESTS)
+    return homes, visits, int((counts * np.maximum(homes, visits) + counts * np.maximum(homes - 1, 0) // 2 + guests * homes).sum())
+
+
 def links(different: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that connect all of (fp, rep) within the radius, as forests found tile by tile."""
-    n = different.count()
+    spark = different.sparkSession
     quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]
-    blocks = max(1, -(-n // (500 * BLOCK)))
     tile = lambda q: sum(q[k] * 17**k for k in range(4))
-    rows = different.select("fp", "rep", *(q.alias(f"q{k}") for k, q in enumerate(quarters)), F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("own"))
+    rows = different.select("fp", "rep", *(q.alias(f"q{k}") for k, q in enumerate(quarters))).withColumn("home", tile([F.col(f"q{k}") for k in range(4)]))
+    counts = np.zeros((17,) * 4, np.int64)
+    for r in rows.groupBy("home").agg(F.count("*").alias("n")).collect():
+        counts[tuple(r["home"] // 17**k % 17 for k in range(4))] = r["n"]
+    homes, visits, dealt_rows = divide(counts, radius)
     inside = lambda d: " and ".join(f"q{k} + {x} between 0 and 16" for k, x in enumerate(d))
     guests = F.filter(F.array(*(F.when(F.expr(inside(d)), tile([F.col(f"q{k}") + d[k] for k in range(4)])) for d in offsets(radius))), lambda x: x.isNotNull())
-    # A block of rows at home meets all blocks of its own tile from its own on, and all blocks of guests.
-    at_home = rows.select("fp", "rep", "own", tile([F.col(f"q{k}") for k in range(4)]).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"))
-    at_home = at_home.select("fp", "rep", "tile", F.explode(F.array_distinct(F.array(F.struct(F.col("own").alias("h"), F.col("x").alias("g"), F.lit(0).alias("role")), F.struct(F.col("x").alias("h"), F.col("own").alias("g"), F.lit(1).alias("role"))))).alias("at"))
-    visiting = rows.select("fp", "rep", "own", F.explode(guests).alias("tile")).select("fp", "rep", "tile", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("h"), F.col("own").alias("g"))
-    dealt = at_home.select("fp", "rep", "tile", "at.h", "at.g", "at.role").unionByName(visiting.withColumn("role", F.lit(2)))
-    spark = different.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (len(offsets(radius)) + 2) * blocks // DEALT))
+    at_home, visiting = rows.select("fp", "rep", F.col("home").alias("tile")), rows.select("fp", "rep", F.explode(guests).alias("tile"))
+    if max(homes.max(), visits.max()) > 1:
+        # Only tiles of several blocks are in this table, 83521 at the very most.
+        split = [(sum(int(x) * 17**k for k, x in enumerate(at)), int(homes[tuple(at)]), int(visits[tuple(at)])) for at in np.argwhere(np.maximum(homes, visits) > 1)]
+        split = F.broadcast(spark.createDataFrame(split, "tile int, homes int, visits int"))
+        at_home, visiting = (x.join(split, "tile", "left") for x in (at_home, visiting))
+        one = F.lit(1)
+        own = lambda n: F.pmod(F.xxhash64("fp"), F.greatest(F.coalesce(n, one), one)).cast("int")
+        # A block at home is in the cells of all blocks of guests, and of the blocks at home from its own on; there it meets those as guests.
+        wide = F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("homes"), one), F.coalesce(F.col("visits"), one)) - 1)
+        block = at_home.withColumn("own", own(F.col("homes")))
+        first = F.transform(wide, lambda x: F.struct(F.col("own").alias("h"), x.alias("g"), F.lit(0).alias("role")))
+        again = F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda x: F.struct(x.alias("h"), F.col("own").alias("g"), F.lit(1).alias("role")))).otherwise(F.slice(first, 1, 0))
+        at_home = block.select("fp", "rep", "tile", F.explode(F.concat(first, again)).alias("at")).select("fp", "rep", "tile", "at.h", "at.g", "at.role")
+        # Nobody visits a tile without anyone at home.
+        every = F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("homes"), one), one) - 1)
+        visiting = visiting.where("homes is null or homes > 0").select("fp", "rep", "tile", F.explode(every).alias("h"), own(F.col("visits")).alias("g"), F.lit(2).alias("role"))
+        dealt = at_home.unionByName(visiting)
+    else:
+        dealt = at_home.withColumn("role", F.lit(0)).unionByName(visiting.withColumn("role", F.lit(2))).select("fp", "rep", "tile", F.lit(0).alias("h"), F.lit(0).alias("g"), "role")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dealt_rows // DEALT))
 
     def run(batches):
         held = [pa.Table.from_batches([b]) for b in batches]
@@ -110,7 +139,7 @@ def links(different: DataFrame, radius: int = RADIUS) -> DataFrame:
         fp, rep, cell, h, g, role = (whole.column(k).to_numpy() for k in ("fp", "rep", "tile", "h", "g", "role"))
         fp = fp.view(np.uint64)
         order = np.lexsort((role, g, h, cell))
-        key = (cell[order].astype(np.int64) << 32) | (h[order].astype(np.int64) << 16) | g[order]
+        key = (cell[order].astype(np.int64) << 44) | (h[order].astype(np.int64) << 22) | g[order]
         edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else [], len(key)).astype(np.int64)
         ids, number = np.unique(rep, return_inverse=True)
         forest = Forest(len(ids))
