@@ -4,7 +4,7 @@ A word is a run of characters other than ASCII white space. Rules of a line that
 
 - punctuation: marks of ``[#*$%&|<>!]`` on more than half as many places as the line has words;
 - navigation: at least three separators (``|``, ``»``, ``•``, ``·``), and one for every four words at least;
-- boilerplate: a known phrase of licences and site notices, a line equal to an earlier one of its document, or
+- boilerplate: a known phrase of licences and site notices in English, German, French or Spanish, a line equal to an earlier one of its document, or
   a line of six words or more of which over half repeat the word before.
 
 Two base rules judge the whole text before its lines do: too few words, or too many words in repeated three-word windows.
@@ -31,6 +31,9 @@ BOILERPLATE = (
     "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy",
     "accept cookies", "use of cookies", "subscribe to our", "sign up for our", "click here", "skip to content",
     "share this", "follow us on", "powered by", "read more",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "newsletter abonnieren", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "conditions générales d", "politique de confidentialité", "accepter les cookies", "cliquez ici", "en savoir plus", "aller au contenu",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "aceptar las cookies", "suscríbete a", "haz clic aquí", "leer más",
 )
 _BOILERPLATE = [x.encode() for x in BOILERPLATE]
 _SEPARATORS = [x.encode() for x in SEPARATORS]
@@ -57,7 +60,9 @@ def line_fails(line: bytes, seen: bool, phrases: list[bytes] = _BOILERPLATE) ->
         return True
     if n >= 6 and 2 * sum(a == b for a, b in zip(words, words[1:])) > n:
         return True
-    low = line.lower()
+    if not phrases:
+        return False
+    low = line.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
     return any(x in low for x in phrases)
 
 
@@ -84,7 +89,7 @@ def judge_text(text: str | None, rules: Rules = Rules()) -> tuple[dict, str]:
     repeats = repeated_words(words, rules.window)
     seen: set[bytes] = set()
     left, lost, with_word, failed, duplicates = [], 0, 0, 0, 0
-    low = raw.lower()
+    low = text.lower().encode("utf-8", "surrogatepass")
     phrases = [x for x in _BOILERPLATE if x in low]
     for line in raw.split(b"\n"):
         if not line or line.isspace():
