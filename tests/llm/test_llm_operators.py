@@ -589,6 +589,103 @@ def test_html_rows(spark):
     assert found == sorted((str(i), u, html_blocks.main_text(h), len(html_blocks.main_text(h))) for i, u, h, *_ in rows)
 
 
+def plain_pipeline(rows, model):
+    """What the stages before packing keep, by loops; ``rows`` are (doc_id, text, ...)."""
+    names, scores = model.predict([r[1] for r in rows])
+    left = [r for r, n, s in zip(rows, names, scores) if n != language_id.UNKNOWN and s >= 0.5]
+    left = [r for r in left if quality_rules.judge_text(r[1])[0]["kept"]]
+    prints = np.array([plain_fingerprint(r[1]) for r in left], np.uint64)
+    parent = {r[0]: r[0] for r in left if r[0] is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations([i for i, r in enumerate(left) if r[0] is not None], 2):
+        if (int(prints[i]) ^ int(prints[j])).bit_count() <= 3:
+            x, y = root(left[i][0]), root(left[j][0])
+            parent[max(x, y)] = min(x, y)
+    kept = {}
+    for r in left:
+        if r[0] is not None and root(r[0]) == r[0]:
+            kept[r[0]] = min(kept.get(r[0], r[1]), r[1])
+    return sorted(kept.items()), sorted(r[1] for r in left if r[0] is None)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, copies, near copies, clashing extra columns, and an empty table."""
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(160)
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs.collect()]
+    longest = max(rows, key=lambda r: len(r[1] or ""))
+    rows += [(9000, rows[3][1], None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (None, rows[5][1], "en", "s", 0), (None, rows[5][1], "en", "s", 0)]
+    rows += [rows[8], rows[8], (rows[9][0], longest[1], "en", "s", 0), (9003, longest[1] + " one more word", "en", "s", 0), (9004, " ".join([longest[1]] * 30), "en", None, 7)]
+    extra = "score double, fp long, component_id string, id int, length int, row string, key int, rank int"
+    frame = spark.createDataFrame([(*r, 0.5, 1, "c", 2, 3, "r", 4, 5) for r in rows], SCHEMA + ", " + extra)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = language_id.fit(language_id.learnable(frame))
+    with_id, without = plain_pipeline(rows, model)
+    docs = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == frame.columns
+    left = docs.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"] is not None) == with_id and sorted(r["text"] for r in left if r["doc_id"] is None) == without
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    own = Tokenizer.from_file(WORD)
+    want = []
+    for i, text in with_id + [(None, x) for x in without]:
+        ids = np.array(own.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        want += [(str(i), k, 2048 * k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(np.split(ids, range(2048, len(ids), 2048)))]
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == sorted(want)
+    empty = str(tmp_path / "none")
+    frame.limit(0).write.parquet(empty + "/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    """Operators that the other test of clashes doesn't have, with extra columns named like theirs, repeated rows, ties and null ids."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 2, 3.0, "y", 1) for i, t in ((1, "you are a fool"), (1, "you are a fool"), (2, "fine"), (None, None))], SCHEMA + ", id string, k int, score double, y string, predicted int")
+    labels = spark.createDataFrame([(1, 1, "q", 0), (1, 0, "q", 0), (2, 0, "q", 0), (None, 1, "q", 0)], "doc_id long, toxic int, id string, y int")
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(found) == 4 and len({r["score"] for r in found if r["doc_id"] == 1}) == 1
+    pages = spark.createDataFrame([(1, "u", "x" * 2000, "i", "p", "d", 5, "f"), (1, "u", "x" * 2000, "i", "p", "d", 5, "f"), (3, "u", "x" * 2000, "i", "p", "d", 5, "f")], "page_id long, url string, html string, id string, payload string, digest string, n int, refers_to string")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc_bundles.round_trip(pages).collect()) == [(1, "revisit", 3), (1, "revisit", 3), (3, "response", None)]
+    told = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert len(told) == 4
+
+
+def test_texts_longer_than_a_slice(spark):
+    """One text of over 4 MB beside short ones, through every operator on texts."""
+    words = "".join(f"wörd{i} and some more words, line {i}.\n" for i in range(130_000))
+    assert len(words.encode()) > 4 << 20
+    docs = spark.createDataFrame([(1, "short text"), (2, words), (3, "you fool")], "doc_id long, text string")
+    one = quality_rules.judge(docs).where("doc_id = 2").first()
+    assert one["n_words"] == len(words.split()) and one["word_chars"] == sum(map(len, words.split()))
+    assert bpe_scan.encode(docs, BYTE).where("doc_id = 2").first()["decoded_sha256"] == hashlib.sha256(words.encode()).hexdigest()
+    pieces = packing.pack(docs, WORD).where("doc_id = 2").collect()
+    assert [r["length"] for r in sorted(pieces, key=lambda r: r["piece"])][:-1] == [2048] * (len(pieces) - 1)
+    assert int(simhash_tiles.near_duplicates(docs).where("doc_id = 2").first()["fingerprint"], 16) == plain_fingerprint(words)
+    assert token_counts.count(docs, PIECE).where("doc_id = 2").count() == 1
+    model = toxicity.Model({"fool": 5.0}, np.array([-3.0, 1, 1, 1, 1, 1, 1, 1, 1, 1]))
+    assert toxicity.score(docs, model).where("doc_id = 2").first()["predicted"] == 0 < toxicity.score(docs, model).where("doc_id = 3").first()["predicted"]
+    assert html_blocks.extract(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<article><p>"), "text").alias("html"))).where("page_id = 2").first()["n_chars"] == len(" ".join(words.split()))
+
+
+def test_byte_bpe_of_many_scripts():
+    import tiktoken
+
+    codec = bpe_scan.Codec.load(BYTE)
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    parts = ["हिन्दी में लिखा १२३", "ภาษาไทย ๑๒", "العربية ٣٤", "עִבְרִית", "ქართული ენა", "ᏣᎳᎩ ꮳꮃꭹ", "Ⅷ ½ ²x", "ǅ ʰa", "𝔘𝔫𝔦 𐐷𐐷", "e\u0301e ﬁ", "한국어 조선말", "a\u00a0b\u2003c\u200bd", "ᠮᠣᠩᠭᠣᠯ", "𞤀𞤣𞤤", "இது தமிழ்'s"]
+    for x in parts:
+        assert codec.encode_batch([x])[0].tolist() == encoding.encode_ordinary(x), x
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(3)

@@ -12,8 +12,8 @@ a fingerprint in sparse tiles is sent once to each. Tasks return a spanning fore
 fingerprint, which is compared once, so a group of copies of any size is one row there.
 
 Defined results: null and empty texts and texts without words have the fingerprint zero, linked like any other. Texts of fewer words than a
-shingle are one shingle. Rows that repeat an id are one document in links. A row with a null id has a fingerprint, a null
-component and no links. Extra columns are ignored by ``near_duplicates`` and kept by ``keep_first``. An empty table gives an empty result.
+shingle are one shingle. Rows that repeat an id are one document in links, and ``keep_first`` keeps one of them. A row with a null id has a
+fingerprint, a null component and no links, and stays. Extra columns are ignored by ``near_duplicates`` and kept by ``keep_first``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -176,7 +176,16 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 
 
 def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``documents`` but those of a document that isn't the one with the smallest id of its component."""
+    """The rows of ``documents`` but those of a document that isn't the one with the smallest id of its component; of rows that repeat an
+    id one with the least text. Rows without an id stay."""
     found = near_duplicates(documents, radius, shingle, id_column, text_column)
-    dropped = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    return documents.join(materialise(dropped, "dropped"), id_column, "left_anti").select(*documents.columns)
+    dropped = materialise(found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct(), "dropped")
+    left = documents.join(dropped, id_column, "left_anti").select(*documents.columns)
+    repeated = found.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").select(id_column)
+    repeated = materialise(repeated, "repeated")
+    if not repeated.head(1):
+        return left
+    # Partial minima meet first, so an id of very many rows is no burden.
+    again = left.join(repeated, id_column, "left_semi").select(F.struct(*documents.columns).alias("row"))
+    one = again.groupBy(F.col("row").getField(id_column).alias("key")).agg(F.min_by("row", F.struct(F.col("row").getField(text_column))).alias("row")).select("row.*")
+    return left.join(repeated, id_column, "left_anti").select(*documents.columns).unionByName(one)
