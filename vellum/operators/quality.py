@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 5.0)
 
 
 def word_scores(pairs: DataFrame) -> DataFrame:
-    """(id, expected, actual) to precision, recall and F1 of words as bags, and recall of words as sets."""
+    """(id, expected, actual) to precision, recall and F1 of words as bags, and recall of words as sets. Two texts without words agree."""
     words = lambda c: pairs.select("id", F.explode(t.tokens(F.col(c))).alias("w")).groupBy("id", "w").agg(F.count("*").alias(c))
     joined = words("expected").join(words("actual"), ["id", "w"], "full").na.fill(0, ["expected", "actual"])
     sums = joined.groupBy("id").agg(
@@ -21,12 +23,15 @@ def word_scores(pairs: DataFrame) -> DataFrame:
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = ratio(F.col("both"), F.col("actual")), ratio(F.col("both"), F.col("expected"))
-    return sums.select("id", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), ratio(F.col("set_both"), F.col("set_expected")).alias("set_recall"))
+    scores = {"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), "set_recall": ratio(F.col("set_both"), F.col("set_expected"))}
+    wordless = F.col("both").isNull()
+    return pairs.select("id").join(sums, "id", "left").select("id", *(F.when(wordless, 1.0).otherwise(x).alias(k) for k, x in scores.items()))
 
 
-def character_error(expected: Column, actual: Column) -> Column:
+def character_error(expected: Column, actual: Column, edits: Column | None = None) -> Column:
     """Edits over the expected length; 0 for two empty texts, 1 for text where none was expected."""
-    return F.when(F.char_length(expected) == 0, F.when(F.char_length(actual) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(expected, actual) / F.char_length(expected))
+    edits = F.levenshtein(expected, actual) if edits is None else edits
+    return F.when(F.char_length(expected) == 0, F.when(F.char_length(actual) == 0, 0.0).otherwise(1.0)).otherwise(edits / F.char_length(expected))
 
 
 def overall(edit: Column, teds: Column, cdm: Column) -> Column:
@@ -47,12 +52,24 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return baseline.select("metric", F.col("value").alias("before")).join(candidate.select("metric", F.col("value").alias("after")), "metric", "full").withColumn("change", F.col("after") - F.col("before"))
 
 
-def percentiles(requests: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The value at place int(n * share) of the sorted values, by rank: no group is gathered in one row."""
-    by = Window.partitionBy(key).orderBy(value)
-    ranked = requests.withColumns({"rank": F.row_number().over(by) - 1, "n": F.count("*").over(Window.partitionBy(key))})
-    picks = [F.max(F.when(F.col("rank") == F.floor(F.col("n") * p).cast("int"), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
-    return ranked.groupBy(key).agg(*picks)
+def percentiles(requests: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), cells: int = 4096) -> DataFrame:
+    """The value at place int(n * share) of a key's sorted values; nulls don't count.
+
+    Equal values are counted before the shuffle. A key's values are dealt to cells of equal width, whose counts say in which cell a place lies, and only the
+    values of those cells are put in order, each cell by itself. So a key that holds most rows is neither sorted nor gathered in one task.
+    """
+    counted = requests.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ends = counted.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("_n"))
+    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
+    placed = counted.join(ends, key).select(key, "_v", "_c", "_n", cell.alias("_cell"))
+    up_to = Window.partitionBy(key).orderBy("_cell")
+    sums = placed.groupBy(key, "_cell").agg(F.sum("_c").alias("_inside"), F.max("_n").alias("_n")).withColumn("_before", F.sum("_inside").over(up_to) - F.col("_inside"))
+    wanted = sums.select(key, "_cell", "_before", "_inside", F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), F.floor(F.col("_n") * p).alias("_place")) for k, p in enumerate(shares)))).alias("_w"))
+    wanted = wanted.where((F.col("_w._place") >= F.col("_before")) & (F.col("_w._place") < F.col("_before") + F.col("_inside"))).select(key, "_cell", F.col("_w._k").alias("_k"), (F.col("_w._place") - F.col("_before")).alias("_rest"))
+    within = Window.partitionBy(key, "_cell").orderBy("_v")
+    ranked = placed.join(wanted.select(key, "_cell").distinct(), [key, "_cell"]).withColumn("_last", F.sum("_c").over(within))
+    found = ranked.join(wanted, [key, "_cell"]).where((F.col("_rest") >= F.col("_last") - F.col("_c")) & (F.col("_rest") < F.col("_last")))
+    return found.groupBy(key).agg(*(F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"p{round(p * 100)}") for k, p in enumerate(shares)))
 
 
 def route_counters(requests: DataFrame) -> DataFrame:
@@ -89,29 +106,52 @@ def sliced_means(scores: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
 
 
-#: Ceilings in ms and ratios of the drift rules.
-HARD, HALT = 280.0, 300.0
+#: Ceilings in ms, shares over the baseline, and how many runs that passed make the baseline.
+HARD, HALT, ALERT_SHARE, HALT_SHARE, WINDOW = 280.0, 300.0, 1.05, 1.1, 3
+
+
+def verdict(p50: float | None, err_rate: float | None, passed: list[float], alerts: int) -> tuple[str, int]:
+    """The verdict on a run, and how many alerts for drift there are then in a row. The baseline is the median of the last runs that passed."""
+    if p50 is None or (err_rate or 0.0) > 0.1:
+        return "INFRA", alerts
+    base = statistics.median(passed[-WINDOW:]) if passed else None
+    if p50 > HALT or base is not None and p50 > HALT_SHARE * base:
+        return "HALT", alerts
+    if base is None or p50 <= HARD and p50 <= ALERT_SHARE * base:
+        return "PASS", 0
+    if p50 > HARD:
+        return "ALERT", alerts
+    return ("ALERT", 1) if alerts < 1 else ("HALT", alerts + 1)
 
 
 def verdicts(runs: DataFrame) -> DataFrame:
     """(scenario, seq, p50, err_rate) to a verdict for each run, in order.
 
-    The baseline is the upper median of the last three runs that passed. A second alert in a row by the five-hundredths rule is a halt; a pass ends the row. Both
-    depend on verdicts before, so this is a fold over a scenario's runs.
+    A verdict depends on those before it, so runs are read in order, scenario by scenario. What is kept of a scenario is the last runs that passed and a
+    count, however long its history.
     """
-    groups = runs.groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("seq", "p50", "err_rate"))).alias("a"))
-    start = F.expr("named_struct('passed', cast(array() as array<double>), 'alerts', 0, 'out', cast(array() as array<struct<seq:bigint,verdict:string>>))")
-
-    def step(acc, x):
-        last = F.slice(acc["passed"], F.greatest(F.lit(1), F.size(acc["passed"]) - 2), 3)
-        base = F.element_at(F.sort_array(last), (F.floor(F.size(last) / 2) + 1).cast("int"))
-        none = F.size(last) == 0
-        drift = ~none & (x["p50"] > base * 1.05)
-        first = (
-            F.when(x["p50"].isNull() | (x["err_rate"] > 0.1), "INFRA").when(x["p50"] > HALT, "HALT").when(none, "PASS").when(x["p50"] > base * 1.1, "HALT")
-            .when(x["p50"] > HARD, "ALERT").when(drift, F.when(acc["alerts"] >= 1, "HALT").otherwise("ALERT")).otherwise("PASS")
-        )
-        counts = F.when(first == "PASS", 0).when(first.isin("ALERT", "HALT") & ~(x["err_rate"] > 0.1) & (x["p50"] <= HARD) & drift & ~(x["p50"] > base * 1.1), acc["alerts"] + 1).otherwise(acc["alerts"])
-        return F.struct(F.when(first == "PASS", F.array_append(acc["passed"], x["p50"])).otherwise(acc["passed"]).alias("passed"), counts.cast("int").alias("alerts"), F.array_append(acc["out"], F.struct(x["seq"].cast("long").alias("seq"), first.alias("verdict"))).alias("out"))
-
-    return groups.select("scenario", F.explode(F.aggregate("a", F.when(F.lit(True), start), step)["out"]).alias("e")).select("scenario", "e.seq", "e.verdict")
+    ordered = runs.select("scenario", F.col("seq").cast("long").alias("seq"), "p50", "err_rate").repartition("scenario").sortWithinPartitions("scenario", "seq")
+
+    def read(batches):
+        import pyarrow as pa
+
+        scenario, passed, alerts = None, [], 0
+        for batch in batches:
+            out = []
+            for name, p50, err_rate in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if name != scenario:
+                    scenario, passed, alerts = name, [], 0
+                said, alerts = verdict(p50, err_rate, passed, alerts)
+                if said == "PASS":
+                    passed = [*passed, p50][-WINDOW:]
+                out.append(said)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["scenario", "seq", "verdict"])
+
+    return ordered.mapInArrow(read, "scenario string, seq long, verdict string")
+
+
+def last_passes(runs: DataFrame, judged: DataFrame, keep: int = 2 * WINDOW) -> DataFrame:
+    """Of each scenario the last runs that passed, twice the baseline's number: what is kept so that a bad sample can be got over."""
+    by = Window.partitionBy("scenario").orderBy(F.desc("seq"))
+    passed = judged.where("verdict = 'PASS'").join(runs.select("scenario", F.col("seq").cast("long").alias("seq"), "p50"), ["scenario", "seq"])
+    return passed.withColumn("back", F.row_number().over(by)).where(F.col("back") <= keep).select("scenario", "seq", "p50", "back")

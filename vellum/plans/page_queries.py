@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import dims
 from vellum.operators import layout, pdf, quality, render, requests, sequence
 from vellum.plans.layout_queries import BASE, OWNED, both
-from vellum.plans.registry import ORACLES, query
+from vellum.plans.registry import query
 from vellum.sources.views import sql, view
 
 # ---- decoders: vectors as eight steps of eight symbols -------------------------------------------------------------------------------------
@@ -254,22 +254,12 @@ def page_json(spark, sf_dir):
     return parsed.select("page_id", F.size(r).cast("long").alias("results"), F.size(F.filter(r, lambda e: e["layout_id"].isNotNull())).cast("long").alias("owned"), F.array_min(F.transform(r, lambda e: e["text"])).alias("first_text"))
 
 
-@query("""with s as (select conv_id as batch_id, turn as slot, case when turn % 3 = 2 then null else substr(text, 1, 10) end as text, case when turn % 3 = 2 then 'base64_decode_failed' end as error from conversations)
-select batch_id, array_to_string(list(coalesce(text, '') order by slot), '|') as results, array_to_string(list(coalesce(error, '') order by slot), '|') as errors from s group by batch_id""")
+@query("""with s as (select conv_id as batch_id, turn as slot, case when turn % 3 = 2 then null else text end as text, case when turn % 3 = 2 then 'base64_decode_failed' end as error from conversations)
+select batch_id, sha256(array_to_string(list(coalesce(text, '') order by slot), '|')) as results, array_to_string(list(coalesce(error, '') order by slot), '|') as errors from s group by batch_id""")
 def batch_json(spark, sf_dir):
     """K8, S6"""
     c = view(spark, sf_dir, "conversations")
     bad = F.col("turn") % 3 == 2
-    j = render.batch_json(c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("slot"), F.when(~bad, F.substring("text", 1, 10)).alias("text"), F.when(bad, "base64_decode_failed").alias("error")))
-    p = j.select("batch_id", F.from_json("json", "results array<string>, errors array<string>").alias("p"))
-    return p.select("batch_id", F.array_join("p.results", "|").alias("results"), F.array_join("p.errors", "|").alias("errors"))
-
-
-@query("select batch_id, sha256(results) as results, errors from (" + ORACLES["batch_json"].replace("substr(text, 1, 10)", "text") + ") q")
-def whole_batch_json(spark, sf_dir):
-    """Whole texts"""
-    c = view(spark, sf_dir, "conversations")
-    bad = F.col("turn") % 3 == 2
     j = render.batch_json(c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("slot"), F.when(~bad, F.col("text")).alias("text"), F.when(bad, "base64_decode_failed").alias("error")))
     p = j.select("batch_id", F.from_json("json", "results array<string>, errors array<string>").alias("p"))
     return p.select("batch_id", F.sha2(F.array_join("p.results", "|"), 256).alias("results"), F.array_join("p.errors", "|").alias("errors"))
@@ -285,7 +275,7 @@ def chat_replies(spark, sf_dir):
 
 # ---- scores, metrics and drift --------------------------------------------------------------------------------------------------------------
 
-_PAIRS = "select a.doc_id as id, substr(a.text, 1, 200) as expected, substr(b.text, 1, 200) as actual, a.lang, a.source from {documents} a join {documents} b on b.doc_id = a.doc_id + 1 where a.doc_id % 2 = 0"
+_PAIRS = "select a.doc_id as id, a.text as expected, b.text as actual, a.lang, a.source from {documents} a join {documents} b on b.doc_id = a.doc_id + 1 where a.doc_id % 2 = 0"
 
 
 def pairs(spark, sf_dir):
@@ -294,7 +284,7 @@ def pairs(spark, sf_dir):
 
 _SCORES = "with pr as (" + _PAIRS.format(documents="documents") + """), ew as (select id, w, count(*) as n from (select id, unnest(regexp_extract_all(lower(expected), '[a-z0-9]+')) as w from pr) t group by id, w), aw as (select id, w, count(*) as n from (select id, unnest(regexp_extract_all(lower(actual), '[a-z0-9]+')) as w from pr) t group by id, w),
 j as (select coalesce(e.id, a.id) as id, coalesce(e.n, 0) as e, coalesce(a.n, 0) as a from ew e full join aw a on a.id = e.id and a.w = e.w), s as (select id, sum(least(e, a)) as b, sum(e) as e, sum(a) as a, count(*) filter (where e > 0 and a > 0) as sb, count(*) filter (where e > 0) as se from j group by id),
-f as (select id, case when a > 0 then b / a else 0 end as precision_, case when e > 0 then b / e else 0 end as recall_, case when se > 0 then sb / se else 0 end as set_recall from s), sc as (select id, precision_ as precision, recall_ as recall, case when precision_ + recall_ > 0 then 2 * precision_ * recall_ / (precision_ + recall_) else 0 end as f1, set_recall from f)"""
+f as (select id, case when a > 0 then b / a else 0 end as precision_, case when e > 0 then b / e else 0 end as recall_, case when se > 0 then sb / se else 0 end as set_recall from s), sc as (select pr.id, coalesce(precision_, 1) as precision, coalesce(recall_, 1) as recall, case when precision_ is null then 1 when precision_ + recall_ > 0 then 2 * precision_ * recall_ / (precision_ + recall_) else 0 end as f1, coalesce(set_recall, 1) as set_recall from pr left join f using (id))"""
 
 
 @query(_SCORES + " select * from sc")
@@ -303,12 +293,16 @@ def word_scores(spark, sf_dir):
     return quality.word_scores(pairs(spark, sf_dir))
 
 
-@query("with pr as (" + _PAIRS.format(documents="documents") + ") select id, levenshtein(expected, actual) / length(expected) as cer, (1 - levenshtein(expected, actual) / 1000.0 + 0.5 + 0.25) / 3 * 100 as overall, length(actual) / length(expected) as ratio from pr where regexp_full_match(expected || actual, '[\\x00-\\x7F]*')")
+@query()
 def character_errors(spark, sf_dir):
-    """A31, A32, A33, X12"""
-    p = pairs(spark, sf_dir).where(F.concat("expected", "actual").rlike(r"^[\x00-\x7F]*$"))
+    """A row for every pair; the edits of A33 are over the longer text"""
     e, a = F.col("expected"), F.col("actual")
-    return p.select("id", quality.character_error(e, a).alias("cer"), quality.overall(F.levenshtein(e, a) / 1000.0, F.lit(0.5), F.lit(0.25)).alias("overall"), (F.char_length(a) / F.char_length(e)).alias("ratio"))
+    # Long texts take seconds a pair, so pairs are dealt anew, to a number of tasks that is kept however small they are.
+    p = pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("edits", F.levenshtein(e, a))
+    longer = F.greatest(F.char_length(e), F.char_length(a))
+    edit = F.when(longer == 0, 0.0).otherwise(F.col("edits") / longer)
+    cer = quality.character_error(e, a, F.col("edits"))
+    return p.select("id", cer.alias("cer"), quality.overall(edit, F.lit(0.5), F.lit(0.25)).alias("overall"), (F.char_length(a) / F.nullif(F.char_length(e), F.lit(0))).alias("ratio"))
 
 
 @query(_SCORES + " select p.lang, p.source, count(*) as n, avg(f1) as mean from pr p join sc using (id) group by grouping sets ((lang), (source), ())")
@@ -318,39 +312,6 @@ def sliced_means(spark, sf_dir):
     return quality.sliced_means(quality.word_scores(p).join(p.select("id", "lang", "source"), "id").withColumn("score", F.col("f1")))
 
 
-# The same over whole texts: the queries above read the first 200 characters of either document.
-_CUT, _WHOLE = "substr(a.text, 1, 200) as expected, substr(b.text, 1, 200)", "a.text as expected, b.text"
-
-
-def whole_pairs(spark, sf_dir):
-    return spark.sql(_PAIRS.replace(_CUT, _WHOLE), documents=view(spark, sf_dir, "documents"))
-
-
-@query(ORACLES["word_scores"].replace(_CUT, _WHOLE))
-def whole_word_scores(spark, sf_dir):
-    """Whole texts"""
-    return quality.word_scores(whole_pairs(spark, sf_dir))
-
-
-@query(ORACLES["sliced_means"].replace(_CUT, _WHOLE))
-def whole_sliced_means(spark, sf_dir):
-    """Whole texts"""
-    p = whole_pairs(spark, sf_dir)
-    return quality.sliced_means(quality.word_scores(p).join(p.select("id", "lang", "source"), "id").withColumn("score", F.col("f1")))
-
-
-@query()
-def whole_character_errors(spark, sf_dir):
-    """Whole texts, a row for every pair; the edits of A33 are over the longer text"""
-    e, a = F.col("expected"), F.col("actual")
-    # Long texts take seconds a pair, so pairs are dealt anew, to a number of tasks that is kept however small they are.
-    p = whole_pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("edits", F.levenshtein(e, a))
-    longer = F.greatest(F.char_length(e), F.char_length(a))
-    edit = F.when(longer == 0, 0.0).otherwise(F.col("edits") / longer)
-    cer = F.when(F.char_length(e) == 0, F.when(F.char_length(a) == 0, 0.0).otherwise(1.0)).otherwise(F.col("edits") / F.char_length(e))
-    return p.select("id", cer.alias("cer"), quality.overall(edit, F.lit(0.5), F.lit(0.25)).alias("overall"), (F.char_length(a) / F.nullif(F.char_length(e), F.lit(0))).alias("ratio"))
-
-
 @query("""with e as (select conv_id as doc_id, turn as page, text from conversations), a as (select conv_id as doc_id, turn + 1 as page, role as text from conversations where turn % 4 <> 3) select e.doc_id, e.page - min(e.page) over (partition by e.doc_id) as page, e.text as expected, coalesce(a.text, '') as actual
  from e left join (select *, page - min(page) over (partition by doc_id) as p0 from a) a on a.doc_id = e.doc_id and a.p0 = e.page""")
 def aligned_pages(spark, sf_dir):
@@ -399,13 +360,23 @@ def latency_histogram(spark, sf_dir):
 _RUNS = "select event_type as scenario, user_id as seq, cast(200 + (user_id * 7) % 30 + case when user_id % 11 = 0 then 40 when user_id % 13 = 0 then 85 else 0 end as double) as p50, case when user_id % 17 = 0 then 0.2 else 0.0 end as err_rate from {events} group by event_type, user_id"
 
 
-@query("with recursive r0 as (" + _RUNS.format(events="events") + """), r as (select *, row_number() over (partition by scenario order by seq) as k from r0),
+_VERDICTS = ("with recursive r0 as (" + _RUNS.format(events="events") + """), r as (select *, row_number() over (partition by scenario order by seq) as k from r0),
 it(scenario, k, seq, passed, alerts, verdict) as (select scenario, cast(0 as bigint), cast(null as bigint), cast([] as double[]), 0, cast('' as varchar) from (select distinct scenario from r) s
  union all select i.scenario, r.k, r.seq, case when x.v = 'PASS' then list_append(i.passed, r.p50) else i.passed end,
   case when x.v = 'PASS' then 0 when x.v in ('ALERT', 'HALT') and not (r.err_rate > 0.1) and r.p50 <= 280 and len(i.passed) > 0 and r.p50 > y.b * 1.05 and not (r.p50 > y.b * 1.1) then i.alerts + 1 else i.alerts end, x.v
- from it i join r on r.scenario = i.scenario and r.k = i.k + 1, lateral (select list_sort(i.passed[greatest(1, len(i.passed) - 2):])[least(3, len(i.passed)) // 2 + 1] as b) y,
-  lateral (select case when r.err_rate > 0.1 then 'INFRA' when r.p50 > 300 then 'HALT' when len(i.passed) = 0 then 'PASS' when r.p50 > y.b * 1.1 then 'HALT' when r.p50 > 280 then 'ALERT' when r.p50 > y.b * 1.05 then case when i.alerts >= 1 then 'HALT' else 'ALERT' end else 'PASS' end as v) x)
-select scenario, seq, verdict from it where k > 0""")
+ from it i join r on r.scenario = i.scenario and r.k = i.k + 1, lateral (select list_median(i.passed[greatest(1, len(i.passed) - 2):]) as b) y,
+  lateral (select case when r.err_rate > 0.1 then 'INFRA' when r.p50 > 300 then 'HALT' when len(i.passed) = 0 then 'PASS' when r.p50 > y.b * 1.1 then 'HALT' when r.p50 > 280 then 'ALERT' when r.p50 > y.b * 1.05 then case when i.alerts >= 1 then 'HALT' else 'ALERT' end else 'PASS' end as v) x),
+v as (select scenario, seq, verdict from it where k > 0)""")
+
+
+@query(_VERDICTS + " select * from v")
 def drift_verdicts(spark, sf_dir):
     """W11, W12, Z6 (batch twin)"""
     return quality.verdicts(spark.sql(_RUNS, events=view(spark, sf_dir, "events")))
+
+
+@query(_VERDICTS + " select scenario, seq, p50, back from (select scenario, seq, p50, row_number() over (partition by scenario order by seq desc) as back from v join r using (scenario, seq) where verdict = 'PASS') q where back <= 6")
+def retained_passes(spark, sf_dir):
+    """The last six runs of a scenario that passed"""
+    runs = spark.sql(_RUNS, events=view(spark, sf_dir, "events"))
+    return quality.last_passes(runs, quality.verdicts(runs))

@@ -65,15 +65,24 @@ def stream_route_metrics(spark, sf_dir):
     return metrics.drained(metrics.windowed_counters(metrics.events_stream(spark, sf_dir, 1000)))
 
 
-@query(sql("requests") + """, s as (select route, event_id, duration_s > 2.8 as slow, row_number() over (partition by route order by event_id) as k from requests), g as (select *, sum(cast(not slow as int)) over (partition by route order by k) as grp from s) select route, event_id, cast(sum(cast(slow as int)) over (partition by route, grp order by k) as bigint) as alerts from g""")
+@query(sql("requests") + """, s as (select route, event_id, ts, duration_s > 2.8 as slow, row_number() over (partition by route order by ts, event_id) as k from requests), g as (select *, sum(cast(not slow as int)) over (partition by route order by k) as grp from s)
+ select route, event_id, alerts from (select route, event_id, ts, cast(sum(cast(slow as int)) over (partition by route, grp order by k) as bigint) as alerts from g) q where ts <= (select date_trunc('milliseconds', max(ts)) - interval 1 day from requests)""")
 def stream_alerts(spark, sf_dir):
-    """A counter that slow requests raise and others reset"""
+    """A counter that slow requests raise and others reset, in the order of their times as far as the watermark has come"""
     return metrics.drained(metrics.running_alerts(metrics.events_stream(spark, sf_dir, 1000)))
 
 
 @query("""with p as (select conv_id as request_id, turn as page_index, case when turn % 3 = 2 then 'page_error' else 'page' end as event from conversations), g as (select request_id, count(*) as total, count(*) filter (where event = 'page') as pages, count(*) filter (where event = 'page_error') as errors,
  string_agg('{"event":"' || event || '","page_index":' || page_index || '}', chr(10) order by page_index) as body from p group by request_id) select request_id, '{"event":"meta","total":' || total || '}' || chr(10) || body || chr(10) || '{"event":"end","pages":' || pages || ',"errors":' || errors || '}' as lines from g""")
 def stream_page_events(spark, sf_dir):
-    """Event lines of requests"""
-    pages = view(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("page_index"), (F.col("turn") % 3 == 2).alias("failed"))
-    return metrics.closed_requests(metrics.page_events(pages))
+    """Pages as a stream of events into a sink of JSON lines, and the event lines of each request from there"""
+    pages = metrics.table_stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("page_index"), (F.col("turn") % 3 == 2).alias("failed"))
+    return metrics.closed_requests(metrics.drained(metrics.page_events(pages), form="json"))
+
+
+@query(sql("requests") + """, q as (select event_id, route, ts, ts + to_milliseconds(event_id * 37 % 9000) as taken_at from requests) select event_id, route from q where taken_at <= ts + interval 5 seconds""")
+def stream_deadlines(spark, sf_dir):
+    """Requests that a worker takes up before their time is over, from a stream with a bounded number of files a trigger"""
+    r = metrics.events_stream(spark, sf_dir, 2)
+    taken = r.withColumn("taken_at", F.col("ts") + F.make_dt_interval(secs=((F.col("event_id") * 37 % 9000) / 1000).cast("decimal(18,6)")))
+    return metrics.drained(metrics.in_time(taken, 5.0).select("event_id", "route"))

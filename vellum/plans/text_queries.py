@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.plans.registry import ORACLES, query
+from vellum.plans.registry import query
 from vellum.sources.views import view
 
 #: What the test texts lack is put in: wide forms, CJK, controls, numbers of headings.
@@ -23,26 +23,45 @@ def heads(spark, sf_dir):
     return d.select("doc_id", F.concat(F.expr(_PREFIX), F.coalesce(F.nullif(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("")), F.lit("x"))).alias("head"), "text")
 
 
-@query(_HEADS + rf""" select doc_id, regexp_replace(regexp_replace(concat(chr(9), ' ', head, chr(11), chr(10)), '^{_S}+', ''), '{_S}+$', '') as trimmed, cast(length(head) as int) as points,
- translate(head, '{t.UPPER}', '{t.LOWER}') as lower, translate(head, '{t.WIDE}', '{t.NARROW.replace("'", "''")}') as half, regexp_replace(translate(head, '{t.WIDE}', '{t.NARROW.replace("'", "''")}'), '{_S}+', '', 'g') as normal from heads""")
+_WHOLE = f"with heads as (select doc_id, concat({_PREFIX}, coalesce(nullif(text, ''), 'x')) as head, text from documents)"
+
+
+def whole_heads(spark, sf_dir):
+    """Whole texts behind the same prefixes."""
+    d = view(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.expr(_PREFIX), F.coalesce(F.nullif("text", F.lit("")), F.lit("x"))).alias("head"))
+
+
+def _hashed(columns: str, kept: str, text: str) -> str:
+    """SQL with hashes in place of its long columns."""
+    return f"select {kept}, " + ", ".join(f"sha256({c}) as {c}" for c in columns.split()) + f" from ({text}) q"
+
+
+def _hash(frame, columns: str):
+    return frame.withColumns({c: F.sha2(c, 256) for c in columns.split()})
+
+
+@query(_hashed("trimmed lower half normal", "doc_id, points", _WHOLE + rf""" select doc_id, regexp_replace(regexp_replace(concat(chr(9), ' ', head, chr(11), chr(10)), '^{_S}+', ''), '{_S}+$', '') as trimmed, cast(length(head) as int) as points,
+ translate(head, '{t.UPPER}', '{t.LOWER}') as lower, translate(head, '{t.WIDE}', '{t.NARROW.replace("'", "''")}') as half, regexp_replace(translate(head, '{t.WIDE}', '{t.NARROW.replace("'", "''")}'), '{_S}+', '', 'g') as normal from heads"""))
 def text_normal_forms(spark, sf_dir):
     """X1, X2, X3, X6, X7"""
-    h, c = heads(spark, sf_dir), F.col("head")
-    return h.select("doc_id", t.trim(F.concat(F.lit("\t "), c, F.lit("\x0b\n"))).alias("trimmed"), F.char_length(c).alias("points"), t.ascii_lower(c).alias("lower"), t.half_width(c).alias("half"), t.normal_text(c).alias("normal"))
+    h, c = whole_heads(spark, sf_dir), F.col("head")
+    out = h.select("doc_id", t.trim(F.concat(F.lit("\t "), c, F.lit("\x0b\n"))).alias("trimmed"), F.char_length(c).alias("points"), t.ascii_lower(c).alias("lower"), t.half_width(c).alias("half"), t.normal_text(c).alias("normal"))
+    return _hash(out, "trimmed lower half normal")
 
 
-@query(_HEADS + r""" select doc_id, cast(length(regexp_replace(head, '[^\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}]', '', 'g')) as int) as cjk, regexp_matches(head, '[\x{4E00}-\x{9FFF}]') as has_cjk,
+@query(_WHOLE + r""" select doc_id, cast(length(regexp_replace(head, '[^\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}]', '', 'g')) as int) as cjk, regexp_matches(head, '[\x{4E00}-\x{9FFF}]') as has_cjk,
  cast(length(regexp_replace(head, '[^\x{FFFD}]', '', 'g')) as int) as replaced, cast(length(regexp_replace(head, '[^\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) as int) as controls from heads""")
 def character_counts(spark, sf_dir):
     """X8, X9, X10"""
     c = F.col("head")
-    return heads(spark, sf_dir).select("doc_id", t.cjk_count(c).alias("cjk"), t.contains_cjk(c).alias("has_cjk"), t.replacement_count(c).alias("replaced"), t.unprintable_count(c).alias("controls"))
+    return whole_heads(spark, sf_dir).select("doc_id", t.cjk_count(c).alias("cjk"), t.contains_cjk(c).alias("has_cjk"), t.replacement_count(c).alias("replaced"), t.unprintable_count(c).alias("controls"))
 
 
-@query(_HEADS + ", n as (select doc_id % 100 as page, sum(length(regexp_replace(head, '[^\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FFFF}]', '', 'g'))) as cjk, sum(length(head)) as total from heads group by 1) select page, cast(cjk as bigint) as cjk, cast(total as bigint) as total, cjk >= 3 and cjk * 100 >= total as is_cjk from n")
+@query(_WHOLE + ", n as (select doc_id % 100 as page, sum(length(regexp_replace(head, '[^\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FFFF}]', '', 'g'))) as cjk, sum(length(head)) as total from heads group by 1) select page, cast(cjk as bigint) as cjk, cast(total as bigint) as total, cjk >= 3 and cjk * 100 >= total as is_cjk from n")
 def cjk_pages(spark, sf_dir):
     """A12"""
-    n = heads(spark, sf_dir).groupBy((F.col("doc_id") % 100).alias("page")).agg(F.sum(t.cjk_count(F.col("head"))).alias("cjk"), F.sum(F.char_length("head")).alias("total"))
+    n = whole_heads(spark, sf_dir).groupBy((F.col("doc_id") % 100).alias("page")).agg(F.sum(t.cjk_count(F.col("head"))).alias("cjk"), F.sum(F.char_length("head")).alias("total"))
     return n.withColumn("is_cjk", (F.col("cjk") >= 3) & (F.col("cjk") * 100 >= F.col("total")))
 
 
@@ -71,26 +90,26 @@ def heading_keywords(spark, sf_dir):
     return k.select("doc_id", t.keyword_key(F.col("head")).alias("key"), t.is_keyword(F.col("head")).alias("is_keyword"))
 
 
-@query(r"""with s as (select doc_id, concat('[', substr(text, 1, 40), '](a\b)') as a, case when doc_id % 2 = 0 then concat('( ', substr(text, 1, 5), ' )') else substr(text, 1, 5) end as b from documents)
+@query(_hashed("link code tag", "doc_id", r"""with s as (select doc_id, concat('[', text, '](a\b)') as a, case when doc_id % 2 = 0 then concat('( ', text, ' )') else text end as b from documents)
 select doc_id, regexp_replace(regexp_replace(a, '([\[\]()\\])', '\\\1', 'g'), '[\r\n]+', ' ', 'g') as link, case when contains(a, '`') then '`` ' || a || ' ``' else '`' || a || '`' end as code,
  case when regexp_matches(regexp_replace(regexp_replace(b, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', ''), '^\([\s\S]*\)$') then regexp_replace(regexp_replace(substr(b, 2, length(b) - 2), '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')
- else regexp_replace(regexp_replace(b, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '') end as tag from s""")
+ else regexp_replace(regexp_replace(b, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '') end as tag from s"""))
 def markdown_escapes(spark, sf_dir):
     """X18, X19, X20"""
-    d = view(spark, sf_dir, "documents")
-    a, b = F.concat(F.lit("["), F.substring("text", 1, 40), F.lit("](a\\b)")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("( "), F.substring("text", 1, 5), F.lit(" )"))).otherwise(F.substring("text", 1, 5))
-    return d.select("doc_id", t.link_escape(a).alias("link"), t.code_span(a).alias("code"), t.clean_tag(b).alias("tag"))
+    text = F.col("text")
+    a, b = F.concat(F.lit("["), text, F.lit("](a\\b)")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("( "), text, F.lit(" )"))).otherwise(text)
+    return _hash(view(spark, sf_dir, "documents").select("doc_id", t.link_escape(a).alias("link"), t.code_span(a).alias("code"), t.clean_tag(b).alias("tag")), "link code tag")
 
 
 _E5 = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 _E3 = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;b&gt;', '<b>'), '&lt;/b&gt;', '</b>')"
 
 
-@query(f"select page_id, sha256({_E5.format('html')}) as escaped, sha256({_E3.format('html')}) as cell, sha256(replace(regexp_replace(html, '<[^>]*>?', '', 'g'), '>', '')) as bare, regexp_replace(regexp_replace(regexp_replace(substr(html, 200, 60), '^ ', ''), '^<b>', ''), '</b>$', '') as content from pages")
+@query(_hashed("content", "page_id, escaped, cell, bare", f"select page_id, sha256({_E5.format('html')}) as escaped, sha256({_E3.format('html')}) as cell, sha256(replace(regexp_replace(html, '<[^>]*>?', '', 'g'), '>', '')) as bare, regexp_replace(regexp_replace(regexp_replace(html, '^ ', ''), '^<b>', ''), '</b>$', '') as content from pages"))
 def html_escapes(spark, sf_dir):
     """X21, X22, X27"""
     h = F.col("html")
-    return view(spark, sf_dir, "pages").select("page_id", F.sha2(t.html_escape(h), 256).alias("escaped"), F.sha2(t.cell_escape(h), 256).alias("cell"), F.sha2(t.strip_tags(h), 256).alias("bare"), t.cell_content(F.substring(h, 200, 60)).alias("content"))
+    return _hash(view(spark, sf_dir, "pages").select("page_id", *(f(h).alias(k) for k, f in (("escaped", t.html_escape), ("cell", t.cell_escape), ("bare", t.strip_tags), ("content", t.cell_content)))), "escaped cell bare content")
 
 
 #: A table for each part: spans, cells and a stray script.
@@ -138,23 +157,24 @@ def table_sanitised(spark, sf_dir):
 _REPLY = r"""case doc_id % 9 when 0 then concat('text ```latex', chr(10), w, ' ', chr(10), '``` end') when 1 then concat('a $$', w, '$$ b') when 2 then concat('\[', w, '\]') when 3 then concat('x $', w, '$ y') when 4 then concat('LaTeX: ', w) when 5 then concat('Answer:  ', w, ' ') when 6 then concat('```', w, '```') when 7 then '' else concat('  ', w, chr(10)) end"""
 
 
-@query(rf"""with w as (select doc_id, split_part(text, ' ', 1) as w from documents), r as (select doc_id, {_REPLY} as reply from w)
+@query(_hashed("latex", "doc_id", rf"""with w as (select doc_id, text as w from documents), r as (select doc_id, {_REPLY} as reply from w)
 select doc_id, case when regexp_matches(reply, '```(?:latex|tex|math)?\s*\n?([\s\S]*?)```') then regexp_replace(regexp_extract(reply, '```(?:latex|tex|math)?\s*\n?([\s\S]*?)```', 1), '[\n\r ]+$', '')
  when regexp_matches(reply, '\$\$([\s\S]*?)\$\$') then regexp_extract(reply, '\$\$([\s\S]*?)\$\$', 1) when regexp_matches(reply, '\\\[([\s\S]*?)\\\]') then regexp_extract(reply, '\\\[([\s\S]*?)\\\]', 1)
  when regexp_matches(reply, '\$([^$\n]+)\$') then regexp_extract(reply, '\$([^$\n]+)\$', 1)
- else regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(reply, '^{_S}+', ''), '{_S}+$', ''), '^(?:LaTeX:|Latex:|latex:|Answer:|answer:)', ''), '^{_S}+', ''), '{_S}+$', '') end as latex from r""")
+ else regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(reply, '^{_S}+', ''), '{_S}+$', ''), '^(?:LaTeX:|Latex:|latex:|Answer:|answer:)', ''), '^{_S}+', ''), '{_S}+$', '') end as latex from r"""))
 def latex_replies(spark, sf_dir):
     """X30, X31"""
-    w = view(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
-    return w.select("doc_id", t.latex_of(F.expr(_REPLY.replace("\\", "\\\\"))).alias("latex"))
+    w = view(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w"))
+    return _hash(w.select("doc_id", t.latex_of(F.expr(_REPLY.replace("\\", "\\\\"))).alias("latex")), "latex")
 
 
-@query(f"""select doc_id, regexp_replace(regexp_replace(regexp_replace('[BOS] ' || substr(text, 1, 30) || ' [EOS][PAD]', '\\[(?:BOS|EOS|PAD)\\]', '', 'g'), '^{_S}+', ''), '{_S}+$', '') as bare,
- case when doc_id % 3 = 2 then null when doc_id % 3 = 1 then 'latin' else 'latin,greek' end as scripts from documents""")
+@query(_hashed("bare", "doc_id, scripts", f"""select doc_id, regexp_replace(regexp_replace(regexp_replace('[BOS] ' || text || ' [EOS][PAD]', '\\[(?:BOS|EOS|PAD)\\]', '', 'g'), '^{_S}+', ''), '{_S}+$', '') as bare,
+ case when doc_id % 3 = 2 then null when doc_id % 3 = 1 then 'latin' else 'latin,greek' end as scripts from documents"""))
 def decoder_text(spark, sf_dir):
     """X34, X35"""
+    bare = t.frame_stripped(F.concat(F.lit("[BOS] "), F.col("text"), F.lit(" [EOS][PAD]")))
     lists = F.when(F.col("doc_id") % 3 == 2, "latin, klingon").when(F.col("doc_id") % 3 == 1, "Latin").otherwise(" latin,GREEK,latin,")
-    return view(spark, sf_dir, "documents").select("doc_id", t.frame_stripped(F.concat(F.lit("[BOS] "), F.substring("text", 1, 30), F.lit(" [EOS][PAD]"))).alias("bare"), F.array_join(t.scripts(lists, ("latin", "greek", "cyrillic")), ",").alias("scripts"))
+    return view(spark, sf_dir, "documents").select("doc_id", F.sha2(bare, 256).alias("bare"), F.array_join(t.scripts(lists, ("latin", "greek", "cyrillic")), ",").alias("scripts"))
 
 
 @query("select doc_id, base64(encode(text)) as b64, md5(text) as back, '' as broken from documents")
@@ -194,79 +214,3 @@ def trigram_uniqueness(spark, sf_dir):
     w = view(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("a")).where(F.size("a") >= 50)
     grams = F.transform(F.sequence(F.lit(1), F.size("a") - 2), lambda i: F.array_join(F.slice("a", i, 3), " "))
     return w.select("doc_id", (F.size("a") - 2).cast("long").alias("n"), F.size(F.array_distinct(grams)).cast("long").alias("d")).withColumn("collapsed", F.col("d") * 4 < F.col("n"))
-
-
-# ---- the same over whole texts: the queries above read first lines, first words or a few characters ------------------------------------------
-
-_WHOLE = f"with heads as (select doc_id, concat({_PREFIX}, coalesce(nullif(text, ''), 'x')) as head, text from documents)"
-
-
-def whole_heads(spark, sf_dir):
-    """Whole texts behind the same prefixes."""
-    d = view(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.expr(_PREFIX), F.coalesce(F.nullif("text", F.lit("")), F.lit("x"))).alias("head"))
-
-
-def _hashed(name: str, columns: str, kept: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query without its cuts, with hashes in place of long columns."""
-    text = ORACLES[name]
-    for cut, whole in cuts:
-        assert cut in text
-        text = text.replace(cut, whole)
-    return f"select {kept}, " + ", ".join(f"sha256({c}) as {c}" for c in columns.split()) + f" from ({text}) q"
-
-
-def _hash(frame, columns: str):
-    return frame.withColumns({c: F.sha2(c, 256) for c in columns.split()})
-
-
-@query(_hashed("text_normal_forms", "trimmed lower half normal", "doc_id, points", (_HEADS, _WHOLE)))
-def whole_normal_forms(spark, sf_dir):
-    """Whole texts"""
-    h, c = whole_heads(spark, sf_dir), F.col("head")
-    out = h.select("doc_id", t.trim(F.concat(F.lit("\t "), c, F.lit("\x0b\n"))).alias("trimmed"), F.char_length(c).alias("points"), t.ascii_lower(c).alias("lower"), t.half_width(c).alias("half"), t.normal_text(c).alias("normal"))
-    return _hash(out, "trimmed lower half normal")
-
-
-@query(ORACLES["character_counts"].replace(_HEADS, _WHOLE))
-def whole_character_counts(spark, sf_dir):
-    """Whole texts"""
-    c = F.col("head")
-    return whole_heads(spark, sf_dir).select("doc_id", t.cjk_count(c).alias("cjk"), t.contains_cjk(c).alias("has_cjk"), t.replacement_count(c).alias("replaced"), t.unprintable_count(c).alias("controls"))
-
-
-@query(ORACLES["cjk_pages"].replace(_HEADS, _WHOLE))
-def whole_cjk_pages(spark, sf_dir):
-    """Whole texts"""
-    n = whole_heads(spark, sf_dir).groupBy((F.col("doc_id") % 100).alias("page")).agg(F.sum(t.cjk_count(F.col("head"))).alias("cjk"), F.sum(F.char_length("head")).alias("total"))
-    return n.withColumn("is_cjk", (F.col("cjk") >= 3) & (F.col("cjk") * 100 >= F.col("total")))
-
-
-@query(_hashed("latex_replies", "latex", "doc_id", ("split_part(text, ' ', 1) as w", "text as w")))
-def whole_latex_replies(spark, sf_dir):
-    """Whole texts"""
-    w = view(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w"))
-    return _hash(w.select("doc_id", t.latex_of(F.expr(_REPLY.replace("\\", "\\\\"))).alias("latex")), "latex")
-
-
-@query(_hashed("markdown_escapes", "link code tag", "doc_id", ("substr(text, 1, 40)", "text"), ("substr(text, 1, 5)", "text")))
-def whole_markdown_escapes(spark, sf_dir):
-    """Whole texts"""
-    text = F.col("text")
-    a, b = F.concat(F.lit("["), text, F.lit("](a\\b)")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("( "), text, F.lit(" )"))).otherwise(text)
-    return _hash(view(spark, sf_dir, "documents").select("doc_id", t.link_escape(a).alias("link"), t.code_span(a).alias("code"), t.clean_tag(b).alias("tag")), "link code tag")
-
-
-@query(_hashed("html_escapes", "content", "page_id, escaped, cell, bare", ("substr(html, 200, 60)", "html")))
-def whole_html_escapes(spark, sf_dir):
-    """Whole markup"""
-    h = F.col("html")
-    return _hash(view(spark, sf_dir, "pages").select("page_id", *(f(h).alias(k) for k, f in (("escaped", t.html_escape), ("cell", t.cell_escape), ("bare", t.strip_tags), ("content", t.cell_content)))), "escaped cell bare content")
-
-
-@query(_hashed("decoder_text", "bare", "doc_id, scripts", ("substr(text, 1, 30)", "text")))
-def whole_decoder_text(spark, sf_dir):
-    """Whole texts"""
-    bare = t.frame_stripped(F.concat(F.lit("[BOS] "), F.col("text"), F.lit(" [EOS][PAD]")))
-    lists = F.when(F.col("doc_id") % 3 == 2, "latin, klingon").when(F.col("doc_id") % 3 == 1, "Latin").otherwise(" latin,GREEK,latin,")
-    return view(spark, sf_dir, "documents").select("doc_id", F.sha2(bare, 256).alias("bare"), F.array_join(t.scripts(lists, ("latin", "greek", "cyrillic")), ",").alias("scripts"))
