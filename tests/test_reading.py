@@ -36,7 +36,7 @@ def test_slots_are_permutations():
         regions = []
         for _ in range(rnd.randint(0, 14)):
             x, y = rnd.randint(0, 500), rnd.randint(0, 700)
-            box = (x, y, x + rnd.randint(1, 300), y + rnd.randint(1, 200))
+            box = (x, y, x + rnd.randint(0, 300) * (rnd.random() > 0.1), y + rnd.randint(0, 200) * (rnd.random() > 0.2))
             regions.append(reading.Region(rnd.randint(0, 24), box, rnd.randint(0, 5), rnd.randint(0, 20), rnd.randint(0, 200), rnd.random() < 0.8, box[0] + rnd.randint(0, 20), box[2] - rnd.randint(0, 20)))
         orphans = [(x := rnd.randint(0, 500), y := rnd.randint(0, 700), x + 50, y + 12) for _ in range(rnd.randint(0, 4))]
         found = reading.page_slots(regions, orphans)
@@ -47,6 +47,16 @@ def test_slots_are_permutations():
             assert buckets == sorted(buckets)
 
 
+def test_flat_headings_stay():
+    """Regions without height, of every class, keep their place; a heading is no child of its own."""
+    for k in range(25):
+        for other in range(25):
+            regions = [reading.Region(k, (10, 50, 200, 50), 0, 0, 0), reading.Region(other, (10, 50, 200, 50), 1, 12, 150), reading.Region(22, (10, 60, 200, 100), 3, 12, 180)]
+            found = reading.find_children(regions, 12)
+            assert all(i not in x for i, x in found.items()) and sorted(reading.page_slots(regions, [])) == [0, 1, 2]
+    assert sorted(reading.page_slots([reading.Region(17, (10, 50, 200, 50)), reading.Region(22, (10, 60, 200, 100), 3, 12, 180)], [])) == [0, 1]
+
+
 def line_case(spark, regions, lines):
     r = spark.createDataFrame([(1, i, 22, 900, *b) for i, b in enumerate(regions)] or [(2, 0, 22, 900, 0, 0, 1, 1)], "page_id long, region_id int, class_id int, score_milli int, x0 int, y0 int, x1 int, y1 int")
     frame = spark.createDataFrame([(1, i, f"t{i}", 900, *b) for i, b in enumerate(lines)], "page_id long, line_id int, text string, conf_milli int, x0 int, y0 int, x1 int, y1 int")
@@ -76,6 +86,68 @@ def test_every_line_has_one_place(spark):
         assert all(sorted(x) == list(range(1, len(x) + 1)) for x in pages.values())
 
 
+def plain_columns(page):
+    """Places by definition: ``page`` has (region, class, x0, y0, x1, y1) in order; corridors are looked for place by place."""
+    body = [r for r in page if r[1] not in reading.dims.TOP + reading.dims.BOTTOM]
+    unmoved = {r[0]: k + 1 for k, r in enumerate(page)}
+    if len(body) < 4:
+        return unmoved
+    left, right, tall = min(r[2] for r in body), max(r[4] for r in body), max(r[5] for r in body) - min(r[3] for r in body)
+    wide = right - left
+    if wide <= 0 or tall <= 0:
+        return unmoved
+    step = max(1, wide // 500)
+    places = range(int(left + 0.12 * wide), int(right - 0.12 * wide) + 1, step)
+    clear = "".join("#."[sum(r[5] - r[3] for r in body if r[2] < x < r[4]) <= 0.18 * tall] for x in places)
+    import re
+
+    cuts = [(places[m.start()] + places[m.end() - 1]) / 2 for m in re.finditer(r"\.+", clear) if (m.end() - 1 - m.start()) * step >= max(8, 0.015 * wide)]
+    if not cuts:
+        return unmoved
+    marks = [left, *cuts, right]
+
+    def across(r):
+        own = [k for k in range(1, len(marks) - 1) if r[2] < marks[k] < r[4]]
+        return len(own) > 1 or len(own) == 1 and min(marks[own[0]] - r[2], r[4] - marks[own[0]]) >= 0.18 * min(marks[own[0]] - marks[own[0] - 1], marks[own[0] + 1] - marks[own[0]])
+
+    column = {r[0]: sum(c <= (r[2] + r[4]) / 2 for c in cuts) for r in body if not across(r)}
+    members = [[r for r in body if column.get(r[0]) == k] for k in range(len(cuts) + 1)]
+    if any(len(m) < max(2, 0.15 * len(column)) for m in members):
+        return unmoved
+    spans = [(min(r[3] for r in m), max(r[5] for r in m)) for m in members]
+    for a, b in zip(spans, spans[1:]):
+        shorter = min(a[1] - a[0], b[1] - b[0])
+        if shorter <= 0 or min(a[1], b[1]) - max(a[0], b[0]) < 0.25 * shorter:
+            return unmoved
+    over = sorted((r[3] + r[5], body.index(r)) for r in body if r[0] not in column)
+    keys = {body[i][0]: (k, 1) for k, (_, i) in enumerate(over)}
+    keys |= {r[0]: (sum(m < r[3] + r[5] for m, _ in over), 0, column[r[0]], r[3], r[2], body.index(r)) for r in body if r[0] in column}
+    slots = iter(sorted(unmoved[r[0]] for r in body))
+    return unmoved | {r: next(slots) for r in sorted(keys, key=keys.get)}
+
+
+def test_columns(spark):
+    from vellum.operators import columns
+
+    rnd, rows, want, moved = random.Random(3), [], {}, 0
+    for page in range(250):
+        n, kinds, width = rnd.randint(1, 16), rnd.choice([1, 2, 2, 2, 3, 3]), rnd.choice([400, 700, 1400, 2600])
+        own = []
+        for i in range(n):
+            x0 = rnd.randrange(kinds) * (width // kinds) + rnd.randint(0, width // kinds // 10 + 1)
+            x1 = x0 + rnd.randint(width // kinds // 2, int(width // kinds * 0.92))
+            if rnd.random() < 0.12:
+                x0, x1 = rnd.randint(0, width // 4), rnd.randint(width // 3, width)
+            y0 = rnd.randint(0, 1000)
+            own.append((i, rnd.choice([22, 22, 22, 17, 12, 8, 21]), x0, y0, x1, y0 + rnd.randint(0, 150)))
+        found = plain_columns(own)
+        moved += any(found[i] != i + 1 for i in found)
+        want |= {(page, i): k for i, k in found.items()}
+        rows += [(page, *r, k) for k, r in enumerate(own)]
+    frame = spark.createDataFrame(rows, "page_id long, region_id int, class_id int, x0 int, y0 int, x1 int, y1 int, place int")
+    assert {(r["page_id"], r["region_id"]): r["place"] for r in columns.column_major(frame).collect()} == want and moved > 30
+
+
 def test_descendants():
     boxes = [(0, 0), (10, 0), (5, 0), (20, 0)]
     assert order.descendants({0: [1], 1: [2]}, boxes, 0) == [1, 2]

@@ -95,14 +95,13 @@ def tokenizer_vocabulary(spark, sf_dir):
     return backends.tokenizer_vocabulary(n.agg(F.to_json(body).alias("value")))
 
 
-@query()
-def column_major_order(spark, sf_dir):
-    """Pages with columns are read column by column"""
-    from vellum.operators.order import region_order
+_PLACED = "select page_id, region_id, class_id, x0, y0, x1, y1, row_number() over (partition by page_id order by y0, x0, region_id) as place from {regions}"
 
-    regions = view(spark, sf_dir, "regions")
-    ordered = region_order(regions).join(regions, ["page_id", "region_id"]).withColumnRenamed("position", "place")
-    return columns.column_major(ordered)
+
+@query(sql("regions") + ", placed as (" + _PLACED.format(regions="regions") + ") select * from (" + columns.COLUMN_MAJOR.format(ordered="placed") + ") q")
+def column_major_order(spark, sf_dir):
+    """Pages with columns are read column by column, others from top to bottom"""
+    return columns.column_major(spark.sql(_PLACED, regions=view(spark, sf_dir, "regions")))
 
 
 @query()
