@@ -148,6 +148,93 @@ def test_columns(spark):
     assert {(r["page_id"], r["region_id"]): r["place"] for r in columns.column_major(frame).collect()} == want and moved > 30
 
 
+def plain_cuts(boxes):
+    """Columns and rows of boxes by the places of an axis that they cover, again and again: numbers in order."""
+
+    def bands(own, low, high):
+        covered = sorted({x for i in own for x in range(max(0, boxes[i][low]), boxes[i][high])})
+        starts = [x for k, x in enumerate(covered) if not k or x - covered[k - 1] > 1]
+        return [(s, max(x for x in covered if s <= x and (n is None or x < n)) + 1) for s, n in zip(starts, [*starts[1:], None])]
+
+    def order(own):
+        if len(own) < 2:
+            return own
+        across = sorted(own, key=lambda i: boxes[i][0])
+        out = []
+        for left, right in bands(across, 0, 2):
+            down = sorted((i for i in across if left <= boxes[i][0] < right), key=lambda i: boxes[i][1])
+            rows = [[i for i in down if top <= boxes[i][1] < bottom] for top, bottom in bands(down, 1, 3)]
+            out += sum((order(r) if len(r) < len(down) else r for r in rows), []) if len(rows) > 1 else down
+        return out
+
+    return order(list(range(len(boxes))))
+
+
+def test_line_order_against_plain_cuts(spark):
+    """Every page of the smallest data: buckets, regions and lone lines by plain cuts, lines by their place in a region."""
+    from vellum.operators import lines as ln
+    from vellum.operators.layout import assign_regions
+    from vellum.plans.layout_queries import both
+
+    lines, regions = both(spark, "/root/testdata/sf0.001")
+    owner = assign_regions(lines, regions)
+    inner = {(r["page_id"], r["line_id"]): r["position"] for r in ln.row_order(lines.join(owner.where("region_id is not null"), ["page_id", "line_id"])).collect()}
+    pages, own = {}, {}
+    for r in regions.collect():
+        pages.setdefault(r["page_id"], []).append((0, r["region_id"], r["class_id"], (r["x0"], r["y0"], r["x1"], r["y1"])))
+    for r in lines.join(owner, ["page_id", "line_id"]).collect():
+        if r["region_id"] is None:
+            pages.setdefault(r["page_id"], []).append((1, r["line_id"], 22, (r["x0"], r["y0"], r["x1"], r["y1"])))
+        own.setdefault((r["page_id"], 0 if r["region_id"] is not None else 1, r["region_id"] if r["region_id"] is not None else r["line_id"]), []).append(r["line_id"])
+    want = {}
+    for page, blocks in pages.items():
+        blocks.sort()
+        turn = []
+        for bucket in range(3):
+            some = [b for b in blocks if reading.dims.bucket_of(b[2]) == bucket]
+            turn += [some[k] for k in plain_cuts([b[3] for b in some])]
+        at = 0
+        for kind, name, *_ in turn:
+            for line in sorted(own.get((page, kind, name), ()), key=lambda n: (inner.get((page, n), 1), n)):
+                at += 1
+                want[page, line] = at
+    assert {(r["page_id"], r["line_id"]): r["place"] for r in QUERIES["line_reading_order"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_repetition_against_plain_search(spark):
+    """G19 for made texts: whether the tail repeats a unit, the whole is copies of one, or a line comes over and over, looked for size by size."""
+    rnd = random.Random(5)
+
+    def plain(text):
+        raw = text.strip()
+        if len(text) < 60 or not raw:
+            return text
+        if "\n" not in raw:
+            if len(raw) > 100:
+                for size in range(8, len(raw) // 5 + 1):
+                    n = 1
+                    while raw[: len(raw) - size * n].endswith(raw[-size:]):
+                        n += 1
+                    if n >= 5:
+                        if size * n > 0.5 * len(raw):
+                            return raw[: len(raw) - size * n]
+                        break
+            for size in range(1, len(raw) // 10 + 1):
+                if len(raw) % size == 0 and raw == raw[:size] * (len(raw) // size):
+                    return raw[:size]
+        rows = [x.strip() for x in text.split("\n") if x.strip()]
+        most = max(rows.count(x) for x in rows)
+        return next(x for x in rows if rows.count(x) == most) if len(rows) >= 10 and most >= max(10, 0.8 * len(rows)) else text
+
+    word = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+    texts = ["", "ab" * 40, "x" * 200]
+    for _ in range(300):
+        unit = word(rnd.randint(1, 14))
+        texts += [word(rnd.randint(0, 60)) + unit * rnd.randint(0, 30), "\n".join([unit] * rnd.randint(1, 20) + [word(5)] * rnd.randint(0, 4)), unit * rnd.randint(1, 40)]
+    for text in texts:
+        assert assembly.truncate_repetition(text, 60) == plain(text), text
+
+
 def test_descendants():
     boxes = [(0, 0), (10, 0), (5, 0), (20, 0)]
     assert order.descendants({0: [1], 1: [2]}, boxes, 0) == [1, 2]
@@ -195,6 +282,3 @@ def test_grid_width():
     assert tables.grid_width([[(1, 3)], [(1, 1)], [(1, 1), (1, 1)]]) == 3 and tables.grid_width([]) == 0
 
 
-def test_latex_balance():
-    assert assembly.latex_balanced(r"\frac{a}{b} \left( x \right)") and assembly.latex_balanced(r"\begin{a}\end{a} \{")
-    assert not assembly.latex_balanced("{") and not assembly.latex_balanced(r"\left(") and not assembly.latex_balanced(r"\begin{a}\end{b}") and not assembly.latex_balanced("x\\")

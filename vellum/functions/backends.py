@@ -93,3 +93,18 @@ def tokenizer_vocabulary(files: DataFrame, most: int = 1 << 20) -> DataFrame:
     added = parsed.select(F.explode("j.added_tokens").alias("a")).select("a.id", F.col("a.content").alias("token"), F.coalesce("a.special", F.lit(False)).alias("special"), F.lit(1).alias("rank"))
     best = F.max_by(F.struct("token", "special"), "rank")
     return plain.unionByName(added).where(F.col("id").between(0, most)).groupBy("id").agg(best.alias("b")).select("id", "b.token", "b.special")
+
+
+# What a service is asked at, and modes of reading PDF pages.
+ENDPOINTS = ("/health", "/health/live", "/health/ready", "/metrics", "/capabilities", "/ocr", "/ocr/raw", "/ocr/batch", "/ocr/pixels", "/ocr/pdf")
+ACCELERATED = ("/ocr/markdown", "/infer", "/ocr/stream")
+
+
+def capabilities(routing: Routing, accelerated: bool, features: dict[str, bool], limits: dict[str, int], default_dpi: int = 100, max_pages: int = 2000, verified: bool = True, profiled: bool = False, response_mode: str = "structured") -> str:
+    """What a service offers, as one JSON document. Of backends it names no more than their kinds."""
+    modes = ["ocr", "geometric", "auto"] + ["auto_verified"] * verified
+    offered = {k: bool(features.get(k)) for k in ("layout", "tables", "formulas", "autorotate")} | {"profile_endpoint": profiled, "grpc_response_mode": response_mode}
+    named = {"routes": dict(sorted(routing.routes.items())), "backends": {k: {"kind": b.kind} for k, b in sorted(routing.backends.items())}}
+    whole = {"build": "gpu" if accelerated else "cpu", "features": offered, "pdf": {"modes": modes, "default_dpi": default_dpi, "max_pages": max_pages}}
+    whole |= {"limits": {k: limits[k] for k in ("max_body_mb", "max_image_dim", "max_batch_images")}, "endpoints": [*ENDPOINTS, *(ACCELERATED if accelerated else ()), *(("/profile",) if profiled else ())], "routing": named}
+    return json.dumps(whole, separators=(",", ":"), ensure_ascii=False)

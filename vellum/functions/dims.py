@@ -71,3 +71,27 @@ def values_sql(rows: list[tuple], name: str, columns: str) -> str:
 
 CLASSES_SQL = values_sql(class_rows(), "classes", CLASS_COLUMNS)
 ERRORS_SQL = values_sql(list(ERRORS), "errors", "code string, http_status int, grpc_status int")
+
+
+# Models by name with their recogniser, dictionary and detector; those of a language have no detector of their own.
+MODELS = (
+    ("medium", "models/rec.onnx", "models/keys.txt", "models/det.onnx", False), ("small", "models/rec_small.onnx", "models/keys.txt", "models/det_small.onnx", False),
+    ("tiny", "models/rec_tiny.onnx", "models/keys_tiny.txt", "models/det_tiny.onnx", False), ("arabic", "models/rec/arabic/rec.onnx", "models/rec/arabic/dict.txt", "models/det.onnx", True),
+    ("eslav", "models/rec/eslav/rec.onnx", "models/rec/eslav/dict.txt", "models/det.onnx", True), ("korean", "models/rec/korean/rec.onnx", "models/rec/korean/dict.txt", "models/det.onnx", True),
+    ("thai", "models/rec/thai/rec.onnx", "models/rec/thai/dict.txt", "models/det.onnx", True), ("greek", "models/rec/greek/rec.onnx", "models/rec/greek/dict.txt", "models/det.onnx", True),
+)
+DEFAULT_MODEL = "tiny"
+
+
+def models(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MODELS, "name string, rec string, dict string, det string, of_language boolean")
+
+
+def with_model(requests: DataFrame) -> DataFrame:
+    """Name, rec, dict and det for a wanted model, else a language, else the default; paths that a request gives itself (own_rec, own_dict, own_det) come first. ``fault`` tells of unknown models."""
+    names, spoken = [m[0] for m in MODELS], [m[0] for m in MODELS if m[4]]
+    asked = F.nullif("model", F.lit(""))
+    name = F.when(asked.isin(*names), asked).when(asked.isNull() & F.col("lang").isin(*spoken), F.col("lang")).otherwise(DEFAULT_MODEL)
+    named = requests.withColumns({"name": name, "fault": F.when(asked.isNotNull() & ~asked.isin(*names), "unknown_model")})
+    paths = [F.coalesce(F.nullif(f"own_{k}", F.lit("")), F.col(k)).alias(k) for k in ("rec", "dict", "det")]
+    return named.join(F.broadcast(models(requests.sparkSession)), "name").select("id", "name", *paths, "fault")

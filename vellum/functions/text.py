@@ -219,3 +219,23 @@ def runaway_line(text: Column, least: int = 10) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), trim), lambda x: x != "")
     best = F.aggregate(F.array_distinct(lines), F.struct(F.lit(0).alias("n"), F.lit("").alias("x")), lambda acc, x: F.when(F.size(F.filter(lines, lambda y: y == x)) > acc["n"], F.struct(F.size(F.filter(lines, lambda y: y == x)).alias("n"), x.alias("x"))).otherwise(acc))
     return F.when((F.octet_length(text) >= 3000) & (best["n"] >= least) & (best["n"] * 10 >= F.size(lines) * 8), best["x"]).otherwise(text)
+
+
+#: Bytes, as characters of Latin-1, that no sequence of a lead byte and its continuation bytes holds. A lead byte is never part of another sequence, so what
+#: stands a few bytes before and after tells.
+_C = r"[\x80-\xBF]"
+_HELD = rf"(?<=[\xC0-\xDF])|(?<=[\xE0-\xEF])(?=.{_C})|(?<=[\xE0-\xEF]{_C})|(?<=[\xF0-\xF7])(?=.{_C}{_C})|(?<=[\xF0-\xF7]{_C})(?=.{_C})|(?<=[\xF0-\xF7]{_C}{_C})"
+BAD_BYTES = rf"(?s)[\xC0-\xDF](?!{_C})|[\xE0-\xEF](?!{_C}{{2}})|[\xF0-\xF7](?!{_C}{{3}})|[\xF8-\xFF]|(?!{_HELD}){_C}"
+
+
+def repaired_utf8(binary: Column) -> Column:
+    """Bytes as text, with U+FFFD for each byte that stands in no sequence of a lead byte and as many continuation bytes as it asks for."""
+    return F.encode(F.regexp_replace(F.decode(binary, "ISO-8859-1"), BAD_BYTES, "\xef\xbf\xbd"), "ISO-8859-1").cast("string")
+
+
+def utf16_text(binary: Column) -> Column:
+    """Little-endian UTF-16 as text: zeros at the end go, halves of pairs that stand alone become U+FFFD, an odd last byte is ignored."""
+    units = F.regexp_replace(F.substring(F.hex(binary), F.lit(1), F.expr("0") + F.floor(F.octet_length(binary) / 2).cast("int") * 4), "(..)(..)", "$2$1 ")
+    units = F.regexp_replace(units, "(?:0000 )+$", "")
+    alone = F.regexp_replace(F.regexp_replace(units, "D[89AB].. (?!D[CDEF])", "FFFD "), "(?<!D[89AB].. )D[CDEF].. ", "FFFD ")
+    return F.decode(F.unhex(F.replace(alone, F.lit(" "), F.lit(""))), "UTF-16BE")

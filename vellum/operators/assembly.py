@@ -166,21 +166,3 @@ def without_repetition(frame: DataFrame, column: str, min_count: int = 3000) ->
     cut.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     cut = F.pandas_udf(cut, "string")
     return frame.withColumn(column, cut(column))
-
-
-def latex_balanced(latex: str) -> bool:
-    """Whether braces, left and right, and begin and end pair up, and no command is cut off."""
-    plain = re.sub(r"\\[{}$%&#_\\]", "", latex)
-    depth = 0
-    for c in plain:
-        depth += (c == "{") - (c == "}")
-        if depth < 0:
-            return False
-    names = re.findall(r"\\(begin|end)\{([^}]*)\}", plain)
-    open_: list[str] = []
-    for kind, name in names:
-        if kind == "begin":
-            open_.append(name)
-        elif not open_ or open_.pop() != name:
-            return False
-    return depth == 0 and not open_ and len(re.findall(r"\\left(?![a-zA-Z])", plain)) == len(re.findall(r"\\right(?![a-zA-Z])", plain)) and not latex.endswith("\\")

@@ -39,6 +39,35 @@ def perspective(source: list[tuple[float, float]], target: list[tuple[float, flo
         return [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
+def with_transform(quads: DataFrame, height: int = 48, most: int = 3200) -> DataFrame:
+    """Width of each line's crop, and the nine numbers of the map that takes the crop's corners to those of its quad (qx0 to qy3, in turn); a quad without area gets the identity.
+
+    The map of the unit square is in closed form, so it is an expression; the crop's size scales its columns.
+    """
+    x, y = [F.col(f"qx{k}").cast("double") for k in range(4)], [F.col(f"qy{k}").cast("double") for k in range(4)]
+    width, _ = crop_width(x, y, height, most)
+    skew = lambda v: v[0] - v[1] + v[2] - v[3]
+    area = (x[1] - x[2]) * (y[3] - y[2]) - (x[3] - x[2]) * (y[1] - y[2])
+    across = (skew(x) * (y[3] - y[2]) - (x[3] - x[2]) * skew(y)) / F.nullif(area, F.lit(0.0))
+    down = ((x[1] - x[2]) * skew(y) - skew(x) * (y[1] - y[2])) / F.nullif(area, F.lit(0.0))
+    w, h = F.col("width"), F.lit(float(height))
+    out = quads.withColumns({"width": width, "across": across, "down": down})
+    row = lambda v: [(v[1] - v[0] + F.col("across") * v[1]) / w, (v[3] - v[0] + F.col("down") * v[3]) / h, v[0]]
+    matrix = F.array(*row(x), *row(y), F.col("across") / w, F.col("down") / h, F.lit(1.0))
+    return out.withColumn("matrix", F.when(F.col("across").isNull(), F.array(*(F.lit(float(k % 4 == 0)) for k in range(9)))).otherwise(matrix)).withColumn("height", h).drop("across", "down")
+
+
+def maps_corners(margin: float = 1e-6) -> Column:
+    """Whether ``matrix`` takes the corners of a crop of that width and height to those of the quad, or is the identity."""
+    m = [F.get("matrix", F.lit(k)) for k in range(9)]
+    good = F.lit(True)
+    for k, (u, v) in enumerate(((F.lit(0.0), F.lit(0.0)), (F.col("width"), F.lit(0.0)), (F.col("width"), F.col("height")), (F.lit(0.0), F.col("height")))):
+        scale = m[6] * u + m[7] * v + m[8]
+        for q, at in ((f"qx{k}", 0), (f"qy{k}", 3)):
+            good = good & (F.abs((m[at] * u + m[at + 1] * v + m[at + 2]) / scale - F.col(q)) < margin)
+    return good | ((m[0] == 1) & (m[4] == 1) & (m[2] == 0) & (m[5] == 0))
+
+
 def keep_candidates(candidates: DataFrame, least_side: float = 3.0, least_score: float = 0.6, least_unclipped: float = 5.0, most: int = 3000) -> DataFrame:
     """Of the first ``most`` candidates of a page, those of enough points, size and score; needs points, width, height, side, score and unclipped."""
     from pyspark.sql import Window

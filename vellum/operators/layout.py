@@ -160,6 +160,18 @@ def route(lines: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+def verified_route(routed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """What a classifier of tables says of the tables whose tier asks for it: (page_id, region_id, is_table, kind). Those that are none become text; others
+    take its kind as a hint. Tables without a verdict, and all other regions, stay as they are."""
+    asked = (F.col("dest") == "table") & (F.col("tier") == "verify")
+    joined = routed.join(verdicts.select("page_id", "region_id", "is_table", F.col("kind").alias("hint")), ["page_id", "region_id"], "left").withColumn("asked", asked & F.col("is_table").isNotNull())
+    demoted = F.col("asked") & ~F.col("is_table")
+    return joined.select(
+        "page_id", "region_id", "tier", F.when(demoted, "text").otherwise(F.col("dest")).alias("dest"), F.when(demoted, "none").otherwise(F.col("wrap")).alias("wrap"),
+        F.when(demoted, "table_verify_demoted").otherwise(F.col("reason")).alias("reason"), F.when(F.col("asked") & F.col("is_table"), F.col("hint")).alias("hint"),
+    )
+
+
 def suppressed_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """R1, last step: lines that a table or formula owns are not recognised as text, unless it is read both ways."""
     owner = assign_regions(lines, regions)

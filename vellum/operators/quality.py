@@ -155,3 +155,8 @@ def last_passes(runs: DataFrame, judged: DataFrame, keep: int = 2 * WINDOW) -> D
     by = Window.partitionBy("scenario").orderBy(F.desc("seq"))
     passed = judged.where("verdict = 'PASS'").join(runs.select("scenario", F.col("seq").cast("long").alias("seq"), "p50"), ["scenario", "seq"])
     return passed.withColumn("back", F.row_number().over(by)).where(F.col("back") <= keep).select("scenario", "seq", "p50", "back")
+
+
+def first_of_each(rows: DataFrame, stratum: str, order: tuple[str, ...], most: int) -> DataFrame:
+    """The first ``most`` rows of each stratum; Spark cuts each task's rows to as many before the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("rank") <= most).drop("rank")

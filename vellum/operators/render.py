@@ -130,3 +130,54 @@ def batch_json(slots: DataFrame) -> DataFrame:
     """Batches with results and errors aligned by slot."""
     rows = slots.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("slot", "text", "error"))).alias("a"))
     return rows.select("batch_id", F.to_json(F.struct(F.transform("a", lambda e: F.coalesce(e["text"], F.lit(""))).alias("results"), F.transform("a", lambda e: F.coalesce(e["error"], F.lit(""))).alias("errors"))).alias("json"))
+
+
+def pdf_json(pages: DataFrame, with_orientation: bool = True) -> DataFrame:
+    """K5: a document's pages as one envelope, in order. ``pages`` has doc_id, page_index, dpi, width, height, results, mode, text_layer_quality,
+    orientation_deg and, for pages with an image, image and image_content_type; fields that are null are left out."""
+    image = [F.base64("image").alias("image_b64"), F.when(F.col("image").isNotNull(), F.col("image_content_type")).alias("image_content_type")]
+    turned = [F.col("orientation_deg")] if with_orientation else []
+    page = F.struct((F.col("page_index") + 1).alias("page"), "page_index", "dpi", "width", "height", F.coalesce("results", F.array().cast(pages.schema["results"].dataType)).alias("results"), "mode", "text_layer_quality", *turned, *image)
+    rows = pages.select("doc_id", "page_index", F.to_json(page, {"ignoreNullFields": "true"}).alias("json"))
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "json"))), lambda e: e["json"]), ",")
+    return rows.groupBy("doc_id").agg(F.concat(F.lit('{"pages":['), inside, F.lit("]}")).alias("json"))
+
+
+# Classes that Markdown for evaluation leaves out, and what it puts before the text of others.
+UNREAD = ("footer", "footer_image", "header", "header_image", "image", "chart", "seal")
+LEADS = {"doc_title": "# ", "paragraph_title": "## ", "figure_title": "### ", "abstract": "**Abstract** ", "aside_text": "> "}
+
+
+def evaluation_markdown(results: DataFrame, layout: DataFrame, tables: DataFrame, formulas: DataFrame) -> DataFrame:
+    """M7: Markdown for scores from the parts of pages: (page_id, markdown).
+
+    ``results``: page_id, id, text, layout_id, box and place, null where a page has no reading order; ``layout``: page_id, id, label and box; ``tables`` and
+    ``formulas``: page_id, layout_id and html or latex. A block's text is that of the lines that name it, else of those that name none and have their centre
+    in it. Blocks go by the first line that names them, others after them from top to bottom.
+    """
+    middle = {"cx": F.col("x0") + F.col("x1"), "cy": F.col("y0") + F.col("y1")}
+    lines = results.withColumns({**middle, "said": F.trim("text")}).select("page_id", F.col("id").alias("line"), "said", "layout_id", "place", "cx", "cy")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "line", "said"))), lambda e: e["said"]), " ")
+    said = lines.where("said <> ''")
+    named = said.groupBy("page_id", F.col("layout_id").alias("id")).agg(joined.alias("named"))
+    free = said.where("layout_id is null or layout_id = -1")
+    box = layout.select("page_id", "id", "x0", "y0", "x1", "y1")
+    inside = F.col("cx").between(2 * F.col("x0"), 2 * F.col("x1")) & F.col("cy").between(2 * F.col("y0"), 2 * F.col("y1"))
+    loose = free.join(box, "page_id").where(inside).groupBy("page_id", "id").agg(joined.alias("loose"))
+    first = lines.groupBy("page_id", F.col("layout_id").alias("id")).agg(F.min("place").alias("first"))
+    blocks = layout.join(named, ["page_id", "id"], "left").join(loose, ["page_id", "id"], "left").join(first, ["page_id", "id"], "left")
+    blocks = blocks.join(tables.select("page_id", F.col("layout_id").alias("id"), F.trim("html").alias("html")), ["page_id", "id"], "left")
+    blocks = blocks.join(formulas.select("page_id", F.col("layout_id").alias("id"), F.trim("latex").alias("latex")), ["page_id", "id"], "left").where(~F.col("label").isin(*UNREAD))
+    text, label = F.coalesce("named", "loose", F.lit("")), F.col("label")
+    formula = F.coalesce(F.nullif("latex", F.lit("")), F.nullif(text, F.lit("")), F.lit(" "))
+    order = Window.partitionBy("page_id").orderBy(F.col("first").asc_nulls_last(), "y0", "x0", "id")
+    cited = label.isin("reference", "reference_content")
+    blocks = blocks.withColumns({"text": text, "cited": cited}).withColumn("heads", cited & (F.sum(cited.cast("int")).over(order) == 1))
+    part = F.when(label == "table", F.coalesce(F.nullif("html", F.lit("")), F.lit("<table></table>"))).when(label == "display_formula", F.concat(F.lit("$$"), formula, F.lit("$$"))).when(label == "inline_formula", F.concat(F.lit("$"), formula, F.lit("$")))
+    item = F.when(F.col("text") != "", F.concat(F.lit("- "), F.col("text")))
+    part = part.when(F.col("heads"), F.concat_ws("\n\n", F.lit("### References"), item)).when(F.col("cited"), item).when(F.col("text") == "", None).when(label == "algorithm", F.concat(F.lit("```algorithm\n"), F.col("text"), F.lit("\n```"))).when(label == "content", item)
+    lead = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LEADS.items() for x in pair)), label), F.lit(""))
+    parts = blocks.select("page_id", F.row_number().over(order).alias("turn"), part.otherwise(F.concat(lead, F.col("text"))).alias("part")).where("part is not null")
+    whole = parts.groupBy("page_id").agg(F.rtrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda e: e["part"]), "\n\n")).alias("md"))
+    pages = layout.select("page_id").union(results.select("page_id")).distinct()
+    return pages.join(whole, "page_id", "left").select("page_id", F.concat(F.coalesce("md", F.lit("")), F.lit("\n")).alias("markdown"))

@@ -39,9 +39,9 @@ def options(layout: Column, order: Column, blocks: Column, tables: Column, formu
     return {"order": ordered, "layout": layout | ordered | tables | formulas, "conflict": ~text & (tables | formulas | ordered | ~layout)}
 
 
-def backend_available(wanted: Column, loaded: Column) -> Column:
-    """F13"""
-    return F.when(wanted & ~loaded, "NOT_READY")
+def structure_backends(wants_tables: Column, has_tables: Column, wants_formulas: Column, has_formulas: Column) -> Column:
+    """the code of a request for what no backend is there for, or null; an override of routing is no backend."""
+    return F.when(wants_tables & ~has_tables, "TABLE_BACKEND_DISABLED").when(wants_formulas & ~has_formulas, "FORMULA_BACKEND_DISABLED")
 
 
 def pdf_request_error(pages: Column, dpi: Column, mode: Column, max_pages: int = 2000) -> Column:
@@ -55,9 +55,40 @@ def job_status(frame: DataFrame) -> DataFrame:
     return frame.withColumn("status", status)
 
 
-def unknown_parameters(given: DataFrame, allowed: DataFrame) -> DataFrame:
-    """parameters that a route doesn't know."""
-    return given.join(F.broadcast(allowed), ["route", "name"], "left_anti")
+# Parameters by group.
+PARAMETERS = {
+    "options": ("layout", "reading_order", "as_blocks", "tables", "formulas", "text"),
+    "routing": ("route_table", "route_formula"),
+    "pixels": ("width", "height", "channels"),
+    "pdf": ("dpi", "mode", "markdown", "as_pages", "images", "format", "lossless", "png_compression", "quality", "max_side", "autorotate"),
+    "markdown": ("embed",),
+}
+
+
+def parameter_group(name: Column) -> Column:
+    """The group of a parameter, or null if no endpoint knows it."""
+    out = F.lit(None).cast("string")
+    for group, names in PARAMETERS.items():
+        out = F.when(name.isin(*names), group).otherwise(out)
+    return out
+
+
+def parameter_checks(given: DataFrame, endpoints: DataFrame, backends: DataFrame, strict: bool = False) -> DataFrame:
+    """(request_id, error, ignored) of (request_id, endpoint, name, value).
+
+    ``endpoints``: endpoint, groups (those it supports); routing overrides are refused where the group isn't supported, and must name one of ``backends``
+    (parameter, backend) elsewhere. Other parameters that the endpoint doesn't support are errors if ``strict``; else those that some endpoint knows are listed as ignored.
+    """
+    rows = given.join(endpoints, "endpoint").withColumn("group", parameter_group(F.col("name")))
+    supported = F.coalesce(F.array_contains("groups", F.col("group")), F.lit(False))
+    override = (F.col("group") == "routing") & (F.coalesce("value", F.lit("")) != "")
+    known = backends.select(F.col("parameter").alias("name"), F.col("backend").alias("value"), F.lit(True).alias("configured"))
+    rows = rows.join(known, ["name", "value"], "left")
+    fault = F.when(F.coalesce(F.col("group") != "routing", F.lit(True)) & ~supported & F.lit(strict), F.struct(F.lit(0).alias("rank"), F.lit("INVALID_PARAMETER").alias("code")))
+    fault = fault.when(override & ~supported, F.struct(F.lit(1).alias("rank"), F.lit("INVALID_PARAMETER").alias("code")))
+    fault = fault.when(override & F.col("configured").isNull(), F.struct(F.lit(2).alias("rank"), F.lit("ROUTING_UNKNOWN_OVERRIDE").alias("code")))
+    ignored = F.when((F.col("group") != "routing") & ~supported & ~F.lit(strict), F.col("name"))
+    return rows.groupBy("request_id").agg(F.min(fault)["code"].alias("error"), F.array_sort(F.collect_set(ignored)).alias("ignored"))
 
 
 def degraded_summary(pages: DataFrame) -> DataFrame:
@@ -80,9 +111,3 @@ def stage_degraded(crops: DataFrame) -> DataFrame:
     """By page, crops whose reply is missing or empty."""
     bad = F.count_if(F.coalesce(F.trim("reply"), F.lit("")) == "")
     return crops.groupBy("page_id").agg(F.count("*").alias("n"), bad.alias("bad")).withColumns({"degraded": F.col("bad") > 0, "message": F.when(F.col("bad") > 0, F.format_string("%d of %d regions failed", F.col("bad"), F.col("n")))})
-
-
-def greedy_strata(items: DataFrame, quota: int) -> DataFrame:
-    """The cheapest ``quota`` items of each stratum; equal costs by id."""
-    by = Window.partitionBy("stratum").orderBy("cost", "id")
-    return items.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= quota).drop("rank")

@@ -104,8 +104,8 @@ def column_major_order(spark, sf_dir):
     return columns.column_major(spark.sql(_PLACED, regions=view(spark, sf_dir, "regions")))
 
 
-@query()
+@query(r"""select doc_id, '\operatorname*{ab}x_{' || replace(regexp_extract(text, '^[^ \n]*'), '"', '') || '}漢字1+2\ y' as latex from documents""")
 def latex_tidy(spark, sf_dir):
     """X32"""
-    made = F.concat(F.lit("\\operatorname* {a b} x _ { "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" } \\text{漢字} \" 1 + 2 \\ y"))
+    made = F.concat(F.lit("\\operatorname* {a b} x _ { "), F.regexp_extract("text", r"^[^ \n]*", 0), F.lit(" } \\text{漢字} \" 1 + 2 \\ y"))
     return latex.with_tidy(view(spark, sf_dir, "documents").select("doc_id", made.alias("latex")), "latex")

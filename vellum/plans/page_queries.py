@@ -123,13 +123,6 @@ def text_degraded(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), flag.alias("degraded"), message.alias("message"))
 
 
-@query("select stratum, id, cost from (select o_orderpriority as stratum, o_orderkey as id, o_totalprice as cost, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) as rn from orders) t where rn <= 25")
-def stratified_sample(spark, sf_dir):
-    """A quota of the cheapest in each stratum"""
-    o = view(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stratum"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("cost"))
-    return requests.greedy_strata(o, 25)
-
-
 # ---- PDF text layers ------------------------------------------------------------------------------------------------------------------------
 
 _PAGES = """select doc_id, cast(length(text) as int) as chars, case when doc_id % 10 = 0 then 90 else 0 end as rotation, cast(case when doc_id % 7 = 0 then length(text) / 10 else 0 end as int) as replaced, cast(case when doc_id % 11 = 0 then length(text) / 5 else 0 end as int) as controls,
@@ -146,14 +139,18 @@ def page_modes(spark, sf_dir):
     return p.select("doc_id", "quality", resolved.alias("resolved"), drawn.alias("drawn"))
 
 
+def page_texts(spark, sf_dir):
+    """Turns of conversations as the text layers of pages, with tabs and line ends of every kind."""
+    return view(spark, sf_dir, "conversations").select(((F.col("conv_id") * 10) + F.col("turn")).alias("doc_id"), F.concat("text", F.lit("\n\ttail  \r\n")).alias("text"))
+
+
 def characters(spark, sf_dir):
-    """The first 400 characters of every fifth document as characters of a page with boxes; the texts are only stand-ins for glyphs."""
-    d = view(spark, sf_dir, "conversations").select(((F.col("conv_id") * 10) + F.col("turn")).alias("doc_id"), F.concat("text", F.lit("\n\ttail  \r\n")).alias("text"))
-    c = d.select("doc_id", F.posexplode(F.split("text", "")).alias("idx", "ch")).where("ch <> ''")
+    """Every character of these texts with a box, sixty to a row."""
+    c = page_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "")).alias("idx", "ch")).where("ch <> ''")
     return c.select("doc_id", "idx", "ch", (F.col("idx") % 60 * 5).alias("x0"), (F.floor(F.col("idx") / 60) * 12).cast("int").alias("y0"), (F.col("idx") % 60 * 5 + 5).alias("x1"), (F.floor(F.col("idx") / 60) * 12 + 10).cast("int").alias("y1"))
 
 
-_CHARS = r"""with d as (select conv_id * 10 + turn as doc_id, text || chr(10) || chr(9) || 'tail  ' || chr(13) || chr(10) as text from conversations), ch as (select doc_id, i as idx, substr(text, i + 1, 1) as ch, i % 60 * 5 as x0, i // 60 * 12 as y0, i % 60 * 5 + 5 as x1, i // 60 * 12 + 10 as y1
+_CHARS = r"""with d as (select conv_id * 10 + turn as doc_id, text || chr(10) || chr(9) || 'tail  ' || chr(13) || chr(10) as text from conversations), ch as materialized (select doc_id, i as idx, substr(text, i + 1, 1) as ch, i % 60 * 5 as x0, i // 60 * 12 as y0, i % 60 * 5 + 5 as x1, i // 60 * 12 + 10 as y1
  from (select doc_id, text, unnest(range(0, length(text))) as i from d) t)"""
 
 
@@ -167,19 +164,19 @@ def text_layer_lines(spark, sf_dir):
 _BOXES = "select distinct doc_id, 0 as box_id, 10 as x0, 0 as y0, 150 as x1, 30 as y1 from {c} union all select distinct doc_id, 1, 100, 10, 300, 60 from {c} union all select distinct doc_id, 2, 0, 0, 20, 2 from {c}"
 
 
-@query(_CHARS + ", bx as (" + _BOXES.format(c="ch") + ") select c.doc_id, b.box_id, string_agg(ch, '' order by idx) as text from ch c join bx b on b.doc_id = c.doc_id and c.x0 + c.x1 >= 2 * b.x0 and c.x0 + c.x1 <= 2 * b.x1 and c.y0 + c.y1 >= 2 * b.y0 and c.y0 + c.y1 <= 2 * b.y1 group by c.doc_id, b.box_id")
+@query(_CHARS + ", bx as materialized (" + _BOXES.format(c="d") + ") select c.doc_id, b.box_id, string_agg(ch, '' order by idx) as text from ch c join bx b on b.doc_id = c.doc_id and c.x0 + c.x1 >= 2 * b.x0 and c.x0 + c.x1 <= 2 * b.x1 and c.y0 + c.y1 >= 2 * b.y0 and c.y0 + c.y1 <= 2 * b.y1 group by c.doc_id, b.box_id")
 def text_in_boxes(spark, sf_dir):
     """S10"""
     c = characters(spark, sf_dir)
-    return pdf.text_in_boxes(c, spark.sql(_BOXES, c=c))
+    return pdf.text_in_boxes(c, spark.sql(_BOXES, c=page_texts(spark, sf_dir)))
 
 
-@query(_CHARS + ", bx as (" + _BOXES.format(c="ch") + """), nt as (select c.doc_id, b.box_id, string_agg(ch, '' order by idx) as native from ch c join bx b on b.doc_id = c.doc_id and c.x0 + c.x1 >= 2 * b.x0 and c.x0 + c.x1 <= 2 * b.x1 and c.y0 + c.y1 >= 2 * b.y0 and c.y0 + c.y1 <= 2 * b.y1 group by c.doc_id, b.box_id),
+@query(_CHARS + ", bx as materialized (" + _BOXES.format(c="d") + """), nt as (select c.doc_id, b.box_id, string_agg(ch, '' order by idx) as native from ch c join bx b on b.doc_id = c.doc_id and c.x0 + c.x1 >= 2 * b.x0 and c.x0 + c.x1 <= 2 * b.x1 and c.y0 + c.y1 >= 2 * b.y0 and c.y0 + c.y1 <= 2 * b.y1 group by c.doc_id, b.box_id),
 g as (select b.*, native, coalesce(length(native) > 0 and length(native) * 60 >= x1 - x0 and length(native) <= x1 - x0, false) as good from bx b left join nt n on n.doc_id = b.doc_id and n.box_id = b.box_id) select doc_id, box_id, case when good then native else 'seen' end as text, case when good then 'pdf' else 'ocr' end as source from g""")
 def verified_results(spark, sf_dir):
     """J14, F9"""
     c = characters(spark, sf_dir)
-    boxes = spark.sql(_BOXES, c=c)
+    boxes = spark.sql(_BOXES, c=page_texts(spark, sf_dir))
     return pdf.verify_with_layer(boxes.withColumn("text", F.lit("seen")), pdf.text_in_boxes(c, boxes))
 
 

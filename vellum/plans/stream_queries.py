@@ -36,7 +36,10 @@ def heading_votes(spark, sf_dir):
     return assembly.title_levels(h.select(F.floor(F.col("doc_id") / 12).alias("doc_id"), (F.col("doc_id") % 12).alias("pos"), "content", (F.col("doc_id") % 4 + 1).alias("cluster")))
 
 
-@query()
+@query("""with b as (select p_partkey // 6 as doc_id, p_partkey % 6 as page_index, p_partkey % 5 = 0 as wide, '<tr><td>' || p_brand || '</td><td>' || p_type || case when p_partkey % 5 = 0 then '</td><td>c' else '' end || '</td></tr>' as row_ from part),
+r as (select *, row_number() over (partition by doc_id order by page_index) - 1 as rk, case when lag(wide) over w = wide and lag(page_index) over w = page_index - 1 then 0 else 1 end as starts from b window w as (partition by doc_id order by page_index)),
+g as (select *, sum(starts) over (partition by doc_id order by page_index) as run from r), h as (select doc_id, run, min(rk) as first_, string_agg(row_, '' order by page_index) as rows_ from g group by doc_id, run)
+select doc_id, page_index, 1 as pos, 'table' as label, cast(2 * first_ + 1 as int) as "group", case when rk = first_ then '<table><tr><th>A</th><th>B</th></tr>' || rows_ || '</table>' else '' end as html from g join h using (doc_id, run) union all select doc_id, page_index, 0, 'header', cast(2 * rk as int), 'h' from g""")
 def merged_tables(spark, sf_dir):
     """G17, W13, A23"""
     p = view(spark, sf_dir, "part")
