@@ -34,8 +34,8 @@ def test_shared_direction(spark, shared):
     assert found >= 0.97
 
 
-@pytest.mark.parametrize("n", [1 << 18, (1 << 18) + 1, 1 << 28])
-@pytest.mark.parametrize("size", [16, 32, 64])
+@pytest.mark.parametrize("n", [1 << 18, 1 << 28])
+@pytest.mark.parametrize("size", [16, 64])
 def test_plan_of_any_size(spark, monkeypatch, n, size):
     width = itq_dedup.plan_width(n)
     monkeypatch.setattr(itq_dedup, "plan_width", lambda m: width)

@@ -433,6 +433,29 @@ def linked(prints):
         least = then
 
 
+def test_intermediate_folders(spark):
+    """They are deleted on demand, all or those since a number; without a shared folder only local sessions get one of their own."""
+    import os
+
+    from vellum.llm import common
+
+    begun = common.written()
+    frames = [common.materialise(spark.range(k + 1).toDF("x"), "test") for k in range(3)]
+    paths = common._written[begun:]
+    assert [f.count() for f in frames] == [1, 2, 3] and all(map(os.path.exists, (p.removeprefix("file:") for p in paths)))
+    common.clean(spark, begun, keep=1)
+    assert [os.path.exists(p.removeprefix("file:")) for p in paths] == [False, False, True] and common.written() == begun + 1
+    common.clean(spark, begun)
+    assert common.written() == begun
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = type("S", (), {"master": "yarn", "getConf": lambda self: {}, "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(Far())
+
+
 @pytest.mark.parametrize("even", [True, False])
 def test_simhash_blocks(spark, monkeypatch, even):
     """Blocks of a few rows; with all fingerprints in one tile and in the tiles around it, and spread out."""
@@ -570,7 +593,7 @@ def test_html_work_grows_with_the_page():
     import time
 
     def took(n):
-        page = "<div>" * n + "</section>" * 3 * n + "<aside><article>" * n
+        page = "<div>" * n + "</section>" * 3 * n + "<aside>" + "<article>" * n + "</article>" * n + "</aside>" + "<aside><article>" * n
         return min(_timed(time, page) for _ in range(3))
 
     def _timed(time, page):

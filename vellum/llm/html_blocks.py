@@ -162,6 +162,8 @@ class Open:
         self.rows: list[tuple[str, str | None, bool, int]] = []  # element, why apart, whether it is an article, number of its tag
         self.by_name: dict[str, list[int]] = {}
         self.count = {"part": 0, "comments": 0, "hint": 0, "article": 0}
+        self.ended: set[int] = set()  # numbers of the tags of parts that an end tag closes later
+        self.in_ended = 0
 
     def push(self, tag: str, why: str | None, article: bool, number: int) -> None:
         self.by_name.setdefault(tag, []).append(len(self.rows))
@@ -169,6 +171,11 @@ class Open:
         if why:
             self.count[why] += 1
         self.count["article"] += article
+        self.in_ended += number in self.ended
+
+    def know(self, ended: set[int]) -> None:
+        self.ended = ended
+        self.in_ended = sum(number in ended for *_, number in self.rows)
 
     def close(self, tag: str) -> int | None:
         """Closes the innermost element of that name and all in it; its tag's number, or None if there is none."""
@@ -182,8 +189,9 @@ class Open:
     def cut(self, at: int = 0) -> None:
         """Closes all elements from place ``at`` on."""
         while len(self.rows) > at:
-            tag, why, article, _ = self.rows.pop()
+            tag, why, article, number = self.rows.pop()
             self.by_name[tag].pop()
+            self.in_ended -= number in self.ended
             if why:
                 self.count[why] -= 1
             self.count["article"] -= article
@@ -215,7 +223,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int]]:
     anchors, some_article = 0, False
     held: list[tuple[str, bool]] = []
     tokens = list(_TOKEN.finditer(page or ""))
-    ended: set[int] | None = None
+    known = False
 
     def flush() -> None:
         if held:
@@ -260,8 +268,10 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int]]:
         article = tag in ("article", "main") and why is None and not open_.count["comments"]
         if article and open_.count["part"]:
             # Parts that an end tag closes later are parts, and an article in one is a teaser. What else stands open was never closed.
-            ended = closed(tokens) if ended is None else ended
-            article = not any(name in PARTS and at in ended for name, _, _, at in open_.rows)
+            if not known:
+                open_.know(closed(tokens))
+                known = True
+            article = not open_.in_ended
             if article:
                 open_.cut()
         elif tag == "body":
