@@ -317,7 +317,7 @@ def test_toxicity(spark):
     assert kinds("i will kill you") == {"threat"} and kinds("the fool") == {"plain"} and kinds("kill, you") == set()
     assert kinds("i will not kill you") == {"negated_threat"} and kinds("he said i will kill you") == {"reported_threat"}
     assert kinds('he said: "i will kill you"') == {"reported_threat"} and kinds("he said, you fool") == {"reported"} and kinds("he left: you fool") == {"targeted"}
-    assert kinds("you will beat them at chess") == kinds("vous allez frapper") == set()
+    assert kinds("you will beat them at chess") == kinds("vous allez frapper") == kinds("she will beat the eggs") == set()
     assert kinds("fool you are") == kinds("you are a fool") == {"targeted"} and kinds("a fool on a hill far from you") == {"plain"}
     assert kinds("she isn’t a fool") == kinds("she isn't a fool") == {"negated"}
     assert kinds("ich werde dich töten") == kinds("te voy a matar") == kinds("je vais te tuer") == kinds("they will hurt you") == {"threat"}
@@ -328,14 +328,14 @@ def test_toxicity(spark):
 def test_grammar_equals_cascade():
     """The composed machine against its transducers run one after the other over whole clauses."""
     rnd = random.Random(11)
-    symbols = [toxicity.INSULT, "threat1", "threat2", toxicity.FUTURE, toxicity.SECOND, toxicity.TARGET, toxicity.NEGATOR, toxicity.REPORT, toxicity.OTHER]
+    symbols = [toxicity.INSULT, "threat1", "threat2", toxicity.FUTURE, toxicity.SECOND, toxicity.TARGET, toxicity.CLITIC, toxicity.NEGATOR, toxicity.REPORT, toxicity.OTHER]
     seen = set()
     for _ in range(3000):
         clause = [rnd.choice(symbols) for _ in range(rnd.randint(0, 9))]
         marks, left = [], 0
         for x in clause[::-1]:
             marks.append(frozenset({"targeted"} if left and x == toxicity.INSULT else ()))
-            left = toxicity.REACH if x in (toxicity.SECOND, toxicity.TARGET) else max(0, left - 1)
+            left = toxicity.REACH if x in (toxicity.SECOND, toxicity.TARGET, toxicity.CLITIC) else max(0, left - 1)
         tape = list(zip(clause, marks[::-1]))
         for part in (toxicity.Negation(), toxicity.Reported(), toxicity.Targeted(), toxicity.Threat(), toxicity.Insult()):
             state, then = 0, []

@@ -40,7 +40,7 @@ TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;:,\n()\"“”«»]")
 ENDS = frozenset('.!?;:,\n()"“”«»')
 #: Ends of clauses that may stand between a report verb and what it reports.
 QUOTES = frozenset(',:"“”«»')
-INSULT, FUTURE, SECOND, TARGET, NEGATOR, REPORT, OTHER = "insult", "future", "second", "target", "negator", "report", "other"
+INSULT, FUTURE, SECOND, TARGET, CLITIC, NEGATOR, REPORT, OTHER = "insult", "future", "second", "target", "clitic", "negator", "report", "other"
 #: Weights of threat verbs by grade.
 GRADES = {"threat1": 1.0, "threat2": 2.0}
 # Words of the grammar in English, German, French and Spanish.
@@ -49,7 +49,8 @@ WORDS = {
     "threat1": "hurt destroy beat punish crush hit smash burn verletzen schlagen vernichten verprügeln frapper détruire écraser brûler golpear destruir aplastar quemar",
     FUTURE: "will shall gonna going i'll we'll they'll he'll she'll werde werden wird vais allons va vont voy vamos van",
     SECOND: "you ye du ihr tu vous tú usted ustedes vosotros",
-    TARGET: "your yours you're yourself he him his she her they them their dich dir dein deine euch euer sie ihn ihm ihnen te toi ton ta votre vos il elle ils elles les ti os tus su él ella ellos ellas",
+    TARGET: "your yours you're yourself he him his she her they them their dich dir dein deine euch euer sie ihn ihm ihnen toi ton ta votre vos il elle ils elles les ti tus su él ella ellos ellas",
+    CLITIC: "te os",
     NEGATOR: "not no never isn't aren't wasn't weren't don't doesn't didn't won't can't nicht kein keine keinen nie niemals ne n'est pas jamais aucun nunca jamás ningún",
     REPORT: "said says say called calls wrote writes told quoted claimed sagte sagt schrieb nannte behauptete dit écrit appelé affirmé dijo dice escribió llamó",
 }
@@ -93,14 +94,14 @@ class Reported(Transducer):
 
 class Targeted(Transducer):
     def step(self, state, symbol, marks):
-        if symbol in (SECOND, TARGET):
+        if symbol in (SECOND, TARGET, CLITIC):
             return REACH, symbol, marks
         return max(0, state - 1), symbol, marks | {"targeted"} if state and symbol == INSULT else marks
 
 
 class Threat(Transducer):
-    """States: 0; "theirs" after a second person that may be a subject, and after its future word; ("future", words left); ("object",
-    words left) where a target followed the future word or a clitic went before it; (grade, words left, why not in earnest) after a verb."""
+    """States: 0; "theirs" after a second person that may be a subject, and after its future word; ("clitic", 1) after a target that may go before a future word;
+    ("future", words left); ("object", words left) where a target followed the future word or a clitic went before it; (grade, words left, why not in earnest) after a verb."""
 
     def step(self, state, symbol, marks):
         left = state[1] - 1 if isinstance(state, tuple) else 0
@@ -111,12 +112,12 @@ class Threat(Transducer):
             if kind == "object":
                 return 0, self.event(symbol, spoken_of(marks)), marks
             return ((symbol, REACH, spoken_of(marks)) if kind == "future" else 0), symbol, marks
-        if symbol in (SECOND, TARGET):
+        if symbol in (SECOND, TARGET, CLITIC):
             if kind in GRADES:
                 return 0, self.event(kind, state[2]), marks
             if kind == "future":
                 return ("object", REACH), symbol, marks
-            return ("theirs" if symbol == SECOND else ("clitic", 1)), symbol, marks
+            return {SECOND: "theirs", CLITIC: ("clitic", 1)}.get(symbol, 0), symbol, marks
         if left > 0 and kind != "clitic":
             return (kind, left, *state[2:]), symbol, marks
         return 0, symbol, marks
