@@ -6,17 +6,16 @@ from vellum.functions import backends, latex
 from vellum.operators import columns, detection
 
 
-def test_columns():
+def test_columns(spark):
     left = [(20, y, 380, y + 80) for y in (100, 200, 300)]
     right = [(420, y, 780, y + 80) for y in (100, 200, 300)]
     woven = [b for pair in zip(left, right) for b in pair]
-    assert columns.column_order(woven) == [0, 2, 4, 1, 3, 5]
-    headed = [(20, 10, 780, 60), *woven]
-    assert columns.column_order(headed) == [0, 1, 3, 5, 2, 4, 6]
-    assert columns.column_order([(20, y, 780, y + 80) for y in (100, 200, 300, 400)]) is None
-    assert columns.column_order(left) is None and columns.column_order([]) is None
-    stacked = [(20, y, 380, y + 80) for y in (100, 200)] + [(420, y, 780, y + 80) for y in (400, 500)]
-    assert columns.column_order(stacked) is None
+    pages = [woven, [(20, 10, 780, 60), *woven], [(20, y, 780, y + 80) for y in (100, 200, 300, 400)], left, [(20, y, 380, y + 80) for y in (100, 200)] + [(420, y, 780, y + 80) for y in (400, 500)]]
+    rows = [(p, i, 22, *b, i) for p, page in enumerate(pages) for i, b in enumerate(page)]
+    found: dict = {}
+    for r in columns.column_major(spark.createDataFrame(rows, "page_id long, region_id int, class_id int, x0 int, y0 int, x1 int, y1 int, place int")).orderBy("place").collect():
+        found.setdefault(r["page_id"], []).append(r["region_id"])
+    assert found == {0: [0, 2, 4, 1, 3, 5], 1: [0, 1, 3, 5, 2, 4, 6], 2: [0, 1, 2, 3], 3: [0, 1, 2], 4: [0, 1, 2, 3]}
 
 
 def test_latex():

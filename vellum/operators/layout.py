@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 from vellum.functions import dims, geometry as g
 
 
+def with_owner(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """Lines with region_id, the first region, by number, that holds their centre; null for orphans. One aggregate picks it, map-side first, and keeps the
+    lines' columns, so nothing is joined again; it isn't dealt anew where lines are dealt by page already. Its keys are all columns: give it those that are needed."""
+    r = regions.select(F.col("page_id").alias("r_page"), F.col("region_id").alias("r_id"), *(F.col(k).alias(f"r_{k}") for k in ("x0", "y0", "x1", "y1")))
+    inside = (F.col("page_id") == F.col("r_page")) & g.centre_inside(g.box(), g.box("r_"))
+    return lines.join(r, inside, "left").groupBy(*lines.columns).agg(F.min("r_id").alias("region_id"))
+
+
 def assign_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """The first region, by number, that holds a line's centre; null for orphans. One aggregate picks it, map-side first."""
-    r = regions.select("page_id", F.col("region_id").alias("r_id"), *(F.col(k).alias(f"r_{k}") for k in ("x0", "y0", "x1", "y1")))
-    inside = (lines["page_id"] == r["page_id"]) & g.centre_inside([lines[k] for k in ("x0", "y0", "x1", "y1")], g.box("r_"))
-    owner = lines.join(r, inside, "left").select(lines["page_id"], "line_id", "r_id").groupBy("page_id", "line_id").agg(F.min("r_id").alias("region_id"))
-    return owner
+    """The region of each line, or null."""
+    return with_owner(lines.select("page_id", "line_id", "x0", "y0", "x1", "y1"), regions).select("page_id", "line_id", "region_id")
 
 
 def supplementary_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Regions, and one more for the orphans of each page that has a region: their hull, score 1, the next number."""
-    owner = assign_regions(lines, regions)
-    orphans = lines.join(owner.where("region_id is null").select("page_id", "line_id"), ["page_id", "line_id"])
+    orphans = with_owner(lines.select("page_id", "line_id", "x0", "y0", "x1", "y1"), regions).where("region_id is null")
     hull = orphans.groupBy("page_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     numbers = regions.groupBy("page_id").agg(F.count("*").cast("int").alias("region_id"))
     extra = hull.join(numbers, "page_id").select("page_id", "region_id", F.lit(dims.SUPPLEMENTARY).alias("class_id"), F.lit(1000).alias("score_milli"), "x0", "y0", "x1", "y1")
@@ -88,7 +92,7 @@ def reconcile_nested(regions: DataFrame, keep: str = "outer", id_column: str = "
 
 def region_statistics(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Number of lines by their first region, their area in it as a share of its own (1 at most) in thousandths, and their mean shape."""
-    owned = lines.join(assign_regions(lines, regions).where("region_id is not null"), ["page_id", "line_id"])
+    owned = with_owner(lines.select("page_id", "line_id", "x0", "y0", "x1", "y1"), regions).where("region_id is not null")
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     sums = owned.groupBy("page_id", "region_id").agg(F.count("*").alias("n_lines"), F.sum(w.cast("long") * h).alias("covered"), F.sum(F.when((w > 0) & (h > 0), F.floor(w * 1000 / h)).otherwise(0)).alias("shape_sum"))
     own = g.area(g.box())
@@ -123,9 +127,10 @@ def tie_breaks(regions: DataFrame) -> DataFrame:
     first, second = F.col("a.region_id"), F.col("b.region_id")
     table = lambda x: F.col(f"{x}.class_id") == 21
     loser = F.when(outer_a, F.when(~table("a"), first)).when(outer_b, F.when(~table("b"), second)).when(middle, F.when(b_loses, second).otherwise(first))
-    reason = F.when(outer_a | outer_b, F.lit("containment")).otherwise(F.lit("overlap"))
-    lost = pairs.select(F.col("a.page_id").alias("page_id"), loser.alias("region_id"), reason.alias("reason"), F.struct(first.alias("i"), second.alias("j")).alias("at")).where("region_id is not null")
-    return lost.groupBy("page_id", "region_id").agg(F.min_by("reason", "at").alias("reason"))
+    # The pair's numbers and the reason in one number, which a hash aggregate takes the least of.
+    at = F.shiftleft(first.cast("long"), 32) + F.shiftleft(second.cast("long"), 1) + F.when(outer_a | outer_b, 0).otherwise(1)
+    lost = pairs.select(F.col("a.page_id").alias("page_id"), loser.alias("region_id"), at.alias("at")).where("region_id is not null")
+    return lost.groupBy("page_id", "region_id").agg(F.min("at").alias("at")).select("page_id", "region_id", F.when(F.col("at") % 2 == 0, "containment").otherwise("overlap").alias("reason"))
 
 
 def route(lines: DataFrame, regions: DataFrame) -> DataFrame:

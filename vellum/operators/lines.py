@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as g
-from vellum.operators.layout import assign_regions, keep_confident
+from vellum.operators.layout import keep_confident, with_owner
 
 
 def band_order(lines: DataFrame, band: int = 10) -> DataFrame:
@@ -122,7 +122,7 @@ def paragraph_blocks(lines: DataFrame, regions: DataFrame) -> DataFrame:
     from vellum.functions import dims
 
     good = keep_confident(lines)
-    owned = good.join(assign_regions(good, regions).where("region_id is not null"), ["page_id", "line_id"])
+    owned = with_owner(good, regions).where("region_id is not null")
     edges = regions.select("page_id", "region_id", "class_id", F.col("x0").alias("block_x0"), F.col("y0").alias("block_y0"), F.col("x1").alias("block_x1"))
     ordered = row_order(owned).join(edges, ["page_id", "region_id"])
     blocks = join_text(ordered).join(dims.with_class(edges, "label", "bucket"), ["page_id", "region_id"])

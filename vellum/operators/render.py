@@ -28,16 +28,16 @@ def formula_tags(regions: DataFrame, texts: DataFrame) -> DataFrame:
     return tagged
 
 
-def nearest_line(regions: DataFrame, lines: DataFrame) -> DataFrame:
-    """For each region, the line with the nearest centre: (page_id, region_id, line_id). Pages are keyed, so pairs stay within one."""
+def nearest_line(regions: DataFrame, lines: DataFrame, value: str = "line_id") -> DataFrame:
+    """For each region, the line with the nearest centre, or its ``value``: (page_id, region_id, value). Pages are keyed, so pairs stay within one."""
     r = regions.select("page_id", "region_id", (F.col("x0") + F.col("x1")).alias("rx"), (F.col("y0") + F.col("y1")).alias("ry"))
     dx, dy = (F.col("x0") + F.col("x1") - F.col("rx")).cast("long"), (F.col("y0") + F.col("y1") - F.col("ry")).cast("long")
-    return r.join(lines.select("page_id", "line_id", "x0", "y0", "x1", "y1"), "page_id").groupBy("page_id", "region_id").agg(F.min_by("line_id", F.struct((dx * dx + dy * dy).alias("d"), "line_id")).alias("line_id"))
+    return r.join(lines.select("page_id", "line_id", F.col(value).alias("_value"), "x0", "y0", "x1", "y1"), "page_id").groupBy("page_id", "region_id").agg(F.min_by("_value", F.struct((dx * dx + dy * dy).alias("d"), "line_id")).alias(value))
 
 
-def line_ranks(lines: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Place of each line: those in reading order first, others by (y, x)."""
-    joined = lines.join(ordered.select("page_id", "line_id", "place"), ["page_id", "line_id"], "left")
+def line_ranks(lines: DataFrame, ordered: DataFrame | None = None) -> DataFrame:
+    """Place of each line: those in reading order first, others by (y, x). Lines may have their place themselves."""
+    joined = lines if ordered is None else lines.join(ordered.select("page_id", "line_id", "place"), ["page_id", "line_id"], "left")
     by = Window.partitionBy("page_id").orderBy(F.col("place").isNull(), F.coalesce("place", F.lit(0)), "y0", "x0", "line_id")
     return joined.withColumn("rank", F.row_number().over(by) - 1).drop("place")
 
@@ -65,9 +65,9 @@ def markdown_parts(regions: DataFrame, ranked: DataFrame, tables: DataFrame, for
     tags = formula_tags(regions, texts)
     tag_of = tags.groupBy("page_id", F.col("formula").alias("region_id")).agg(F.max_by("tag", "number").alias("tag"))
     used = tags.select("page_id", F.col("number").alias("region_id")).distinct().withColumn("used", F.lit(True))
-    ranks = ranked.select("page_id", "line_id", "rank")
-    near = nearest_line(regions, ranked).join(ranks, ["page_id", "line_id"]).select("page_id", "region_id", (F.col("rank") + 0.5).alias("near"))
     keys = ["page_id", "region_id"]
+    # Regions with lines of their own go by the first of them.
+    near = nearest_line(regions.join(texts, keys, "left_anti"), ranked, "rank").select("page_id", "region_id", (F.col("rank") + 0.5).alias("near"))
     full = dims.with_class(regions, "label", "bucket")
     for extra in (texts, last_payload(tables, "html"), last_payload(formulas, "latex"), tag_of, used, near):
         full = full.join(extra, keys, "left")
@@ -115,12 +115,12 @@ def document_markdown(pages: DataFrame, per_document: int) -> DataFrame:
     return numbered.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("part")))), lambda e: e["part"]), "\n\n").alias("markdown"))
 
 
-def page_json(lines: DataFrame, owner: DataFrame, regions: DataFrame) -> DataFrame:
-    """K1, K3, K4: a page as JSON: results, and layout if it has any; fields that are null are left out."""
+def page_json(owned: DataFrame, regions: DataFrame) -> DataFrame:
+    """K1, K3, K4: a page, of lines with their region_id, as JSON: results, and layout if it has any; fields that are null are left out."""
     corner = lambda x, y: F.array(F.col(x), F.col(y))
     quad = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
     item = F.struct(F.col("line_id").alias("id"), "text", (F.col("conf_milli") / 1000).alias("confidence"), quad.alias("bounding_box"), F.col("region_id").alias("layout_id"))
-    results = lines.join(owner, ["page_id", "line_id"]).groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("results"))
+    results = owned.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("results"))
     box = F.struct(F.col("region_id").alias("id"), F.col("label").alias("class"), "class_id", (F.col("score_milli") / 1000).alias("confidence"), quad.alias("bounding_box"))
     layout = dims.with_class(regions, "label").groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("layout"))
     return results.join(layout, "page_id", "left").select("page_id", F.to_json(F.struct("results", "layout"), {"ignoreNullFields": "true"}).alias("json"))

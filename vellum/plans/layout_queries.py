@@ -21,7 +21,7 @@ def both(spark, sf_dir):
 
 def owned_lines(spark, sf_dir):
     lines, regions = both(spark, sf_dir)
-    return lines.join(layout.assign_regions(lines, regions).where("region_id is not null"), ["page_id", "line_id"])
+    return layout.with_owner(lines, regions).where("region_id is not null")
 
 
 @query(BASE + " select * from owner")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import dims
 from vellum.operators import layout, pdf, quality, render, requests, sequence
+from vellum.operators.lines import page_order
 from vellum.plans.layout_queries import BASE, OWNED, both
 from vellum.plans.registry import query
 from vellum.sources.views import sql, view
@@ -206,11 +207,7 @@ parts as (select page_id, region_id, place, case when ref and sum(cast(ref as in
 
 def parts(spark, sf_dir):
     lines, regions = both(spark, sf_dir)
-    owner = layout.assign_regions(lines, regions)
-    from vellum.operators.lines import page_order
-
-    ordered = page_order(lines).select("page_id", "line_id", F.col("position").alias("place"))
-    ranked = render.line_ranks(lines, ordered).join(owner, ["page_id", "line_id"])
+    ranked = render.line_ranks(page_order(layout.with_owner(lines, regions)).withColumnRenamed("position", "place"))
     key = F.col("region_id")
     tables = regions.where("class_id = 21 and region_id % 2 = 0").select("page_id", "region_id", F.lit(1).alias("seq"), F.concat(F.lit("<p>a</p><table><tr><td>"), key.cast("string"), F.lit("</td></tr></table>b")).alias("html"))
     formulas = regions.where("class_id in (5, 15) and region_id % 3 <> 0").select("page_id", "region_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), key.alias("k")).select("page_id", "region_id", "seq", F.concat(F.when(F.col("seq") == 2, "x_").otherwise("old_"), F.col("k").cast("string")).alias("latex"))
@@ -245,7 +242,7 @@ def asset_manifest(spark, sf_dir):
 def page_json(spark, sf_dir):
     """Pages as JSON, read back"""
     lines, regions = both(spark, sf_dir)
-    j = render.page_json(lines, layout.assign_regions(lines, regions), regions)
+    j = render.page_json(layout.with_owner(lines, regions), regions)
     parsed = j.select("page_id", F.from_json("json", "results array<struct<id:bigint,text:string,confidence:double,layout_id:int>>, layout array<struct<id:int,`class`:string>>").alias("p"))
     r = F.col("p.results")
     return parsed.select("page_id", F.size(r).cast("long").alias("results"), F.size(F.filter(r, lambda e: e["layout_id"].isNotNull())).cast("long").alias("owned"), F.array_min(F.transform(r, lambda e: e["text"])).alias("first_text"))

@@ -197,7 +197,7 @@ pg as (select page_id from regions union select page_id from lines) select pg.pa
 def evaluation_markdown(spark, sf_dir):
     """M7: Markdown for scores"""
     lines, regions = both(spark, sf_dir)
-    results = spark.sql(_TAGS, lines=lines.join(layout.assign_regions(lines, regions), ["page_id", "line_id"]))
+    results = spark.sql(_TAGS, lines=layout.with_owner(lines, regions))
     boxes = dims.with_class(regions, "label").select("page_id", F.col("region_id").alias("id"), "label", "x0", "y0", "x1", "y1")
     key = F.col("region_id").cast("string")
     tables = regions.where("region_id % 2 = 0").select("page_id", F.col("region_id").alias("layout_id"), F.concat(F.lit(" <table><tr><td>"), key, F.lit("</td></tr></table> ")).alias("html"))
