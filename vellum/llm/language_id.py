@@ -134,20 +134,17 @@ def count_text(language: str, parts: list[str], into: Counter) -> None:
                 into[language, k, gram] += n
 
 
-def build(rows: list[tuple[int, str, dict[str, int]]], totals: dict[tuple[str, int], int]) -> Model:
-    """``rows``: (n or 0 for a word, the word or gram, count by language); totals by language and n."""
-    languages = sorted({language for language, _ in totals})
-    counts = np.array([[by.get(x, 0) for x in languages] for _, _, by in rows], np.float64).reshape(len(rows), len(languages))
-    order = np.array([n for n, _, _ in rows], np.int64)
-    scores = np.zeros_like(counts)
+def build(order: np.ndarray, items: list[str], counts: np.ndarray, languages: list[str], totals: np.ndarray) -> Model:
+    """A model of items with their order (0 for a word, else n), a row of counts by language each, and the totals by order and language."""
+    counts = counts.astype(np.float64)
+    scores = np.zeros((len(items), len(languages)))
     for n in range(LONGEST + 1):
         own = order == n
-        total = np.array([totals.get((x, n), 0) for x in languages], np.float64)
-        scores[own] = np.log((counts[own] + ALPHA) / (total + ALPHA * max(1, own.sum())))
+        scores[own] = np.log((counts[own] + ALPHA) / (totals[n] + ALPHA * max(1, own.sum())))
     if languages:
         scores -= scores.mean(axis=1, keepdims=True)
-    by_kind = ({x: i for i, (n, x, _) in enumerate(rows) if (n > 0) == k} for k in (False, True))
-    return Model(languages, *by_kind, scores.astype(np.float32))
+    words = {items[i]: int(i) for i in np.flatnonzero(order == 0)}
+    return Model(languages, words, {items[i]: int(i) for i in np.flatnonzero(order > 0)}, scores.astype(np.float32))
 
 
 def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", rows_per_language: int = 2000, least_count: int = 2) -> Model:
@@ -155,7 +152,7 @@ def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     given = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text"), documents[language_column].alias("lang")).where("lang is not null")
     there = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not there:
-        return build([], {})
+        return build(np.zeros(0, np.int64), [], np.zeros((0, 0)), [], np.zeros((LONGEST + 1, 0)))
     share = F.create_map(*(x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))))
     place = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))), F.lit(1 << 30)) / float(1 << 30)
     sample = given.where("text is not null").where(place < share[F.col("lang")]).select("lang", "text")
@@ -170,10 +167,19 @@ def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in counts], pa.string()), "n": pa.array([k[1] for k in counts], pa.int32()), "gram": pa.array([k[2] for k in counts], pa.string()), "c": pa.array(list(counts.values()), pa.int64())})
 
     counted = materialise(map_text(sample, "text", work, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "counts")
-    totals = {(r["lang"], r["n"]): r["c"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
-    whole = counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    rows = sorted((r["n"], r["gram"], r["by"]) for r in whole.where((F.col("total") >= least_count) | (F.col("n") == 1)).select("n", "gram", "by").collect())
-    return build(rows, totals)
+    languages = sorted({r["lang"] for r in counted.select("lang").distinct().collect()})
+    totals = np.zeros((LONGEST + 1, len(languages)))
+    for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect():
+        totals[r["n"], languages.index(r["lang"])] = r["c"]
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "c")))
+    whole = counted.groupBy("n", "gram").agg(F.sum("c").alias("total"), by.alias("by")).where((F.col("total") >= least_count) | (F.col("n") == 1))
+    # Columns and not rows come to the driver: a few tens of bytes an item.
+    found = whole.select("n", "gram", *(F.coalesce(F.col("by")[x], F.lit(0)).alias(f"c{k}") for k, x in enumerate(languages))).toArrow().combine_chunks()
+    if not found.num_rows:
+        return build(np.zeros(0, np.int64), [], np.zeros((0, len(languages))), languages, totals)
+    found = found.sort_by([("n", "ascending"), ("gram", "ascending")])
+    counts = np.stack([found.column(k + 2).to_numpy() for k in range(len(languages))], axis=1)
+    return build(found.column(0).to_numpy(), found.column(1).to_pylist(), counts, languages, totals)
 
 
 def identify(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
