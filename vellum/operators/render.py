@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import dims, geometry as g
@@ -56,10 +58,16 @@ def without_layout(lines: DataFrame, least: int = 2) -> DataFrame:
     return lines.groupBy("page_id").agg(md.alias("md")).select("page_id", F.when(F.col("md") == "", "").otherwise(F.concat("md", F.lit("\n"))).alias("markdown"))
 
 
-def markdown_parts(regions: DataFrame, ranked: DataFrame, tables: DataFrame, formulas: DataFrame) -> DataFrame:
+def block_image(page: Column, region: Column) -> Column:
+    """The name under which Markdown links to a region's image unless a caller says otherwise."""
+    return F.concat(F.lit("block"), region.cast("string"), F.lit(".png"))
+
+
+def markdown_parts(regions: DataFrame, ranked: DataFrame, tables: DataFrame, formulas: DataFrame, image_source: Callable[[Column, Column], Column] = block_image) -> DataFrame:
     """The Markdown of every region that has any, and its place on the page.
 
-    ``ranked`` has lines with rank and region_id; ``tables`` and ``formulas`` have page_id, region_id, seq and html or latex.
+    ``ranked`` has lines with rank and region_id; ``tables`` and ``formulas`` have page_id, region_id, seq and html or latex. E3: ``image_source`` makes an
+    image's address of the columns page_id and region_id.
     """
     texts = region_texts(ranked)
     tags = formula_tags(regions, texts)
@@ -86,7 +94,7 @@ def markdown_parts(regions: DataFrame, ranked: DataFrame, tables: DataFrame, for
     part = (
         F.when(F.col("used") | label.isin(*IGNORED) | (c == 11), "").when(c == 21, F.when(html != "", html).otherwise(text))
         .when(c == 5, F.when(~known, text).when(math == "", "").otherwise(display)).when(c == 15, F.when(~known, text).when(math == "", "").otherwise(F.concat(F.lit("$"), math, F.lit("$"))))
-        .when(label.isin(*IMAGES), F.concat(F.lit("!["), t.link_escape(text), F.lit("](block"), F.col("region_id").cast("string"), F.lit(".png)"))).otherwise(plain)
+        .when(label.isin(*IMAGES), F.concat(F.lit("!["), t.link_escape(text), F.lit("]("), image_source(F.col("page_id"), F.col("region_id")), F.lit(")"))).otherwise(plain)
     )
     order = Window.partitionBy("page_id").orderBy("bucket", "key", "y0", "x0", "region_id")
     placed = full.select("page_id", "region_id", "bucket", "y0", "x0", "label", F.coalesce(F.col("first").cast("double"), F.col("near"), F.lit(1e9) + F.col("y0")).alias("key"), F.coalesce(part, F.lit("")).alias("part")).where("part <> ''")
@@ -102,10 +110,10 @@ def markdown(parts: DataFrame) -> DataFrame:
     return parts.groupBy("page_id").agg(F.concat(joined, F.lit("\n")).alias("markdown"))
 
 
-def assets(regions: DataFrame) -> DataFrame:
+def assets(regions: DataFrame, image_source: Callable[[Column, Column], Column] = block_image) -> DataFrame:
     """A row for each image that Markdown links to."""
     named = dims.with_class(regions, "label").where(F.col("label").isin(*[x for x in IMAGES if x not in IGNORED]))
-    return named.select("page_id", "region_id", F.col("label").alias("kind"), F.concat(F.lit("block"), F.col("region_id").cast("string"), F.lit(".png")).alias("path"), "x0", "y0", "x1", "y1")
+    return named.select("page_id", "region_id", F.col("label").alias("kind"), image_source(F.col("page_id"), F.col("region_id")).alias("path"), "x0", "y0", "x1", "y1")
 
 
 def document_markdown(pages: DataFrame, per_document: int) -> DataFrame:

@@ -205,13 +205,13 @@ pl as (select *, row_number() over (partition by page_id order by bucket, key_,
 parts as (select page_id, region_id, place, case when ref and sum(cast(ref as int)) over (partition by page_id order by place) = 1 then '### References' || chr(10) || chr(10) || part else part end as part from pl)"""
 
 
-def parts(spark, sf_dir):
+def parts(spark, sf_dir, image_source=render.block_image):
     lines, regions = both(spark, sf_dir)
     ranked = render.line_ranks(page_order(layout.with_owner(lines, regions)).withColumnRenamed("position", "place"))
     key = F.col("region_id")
     tables = regions.where("class_id = 21 and region_id % 2 = 0").select("page_id", "region_id", F.lit(1).alias("seq"), F.concat(F.lit("<p>a</p><table><tr><td>"), key.cast("string"), F.lit("</td></tr></table>b")).alias("html"))
     formulas = regions.where("class_id in (5, 15) and region_id % 3 <> 0").select("page_id", "region_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), key.alias("k")).select("page_id", "region_id", "seq", F.concat(F.when(F.col("seq") == 2, "x_").otherwise("old_"), F.col("k").cast("string")).alias("latex"))
-    return render.markdown_parts(regions, ranked, tables, formulas)
+    return render.markdown_parts(regions, ranked, tables, formulas, image_source)
 
 
 @query(_PARTS + " select * from parts")

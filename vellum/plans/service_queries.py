@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import backends, dims, latex, recognizer
+from vellum.functions import backends, dims, latex, recognizer, tablefunctions
 from vellum.functions import geometry as g
 from vellum.functions import text as t
 from vellum.operators import detection, layout, pdf, quality, render, requests, sampling, sequence
 from vellum.plans.layout_queries import BASE, OWNED, both, route_regions
-from vellum.plans.page_queries import _CHARS, _STEPS, characters, steps
+from vellum.plans.page_queries import _CHARS, _STEPS, characters, parts, steps
 from vellum.plans.registry import ORACLES, query
+from vellum.plans.text_queries import html_tables
 from vellum.sources import files
 from vellum.sources.views import sql, view
 
@@ -228,3 +229,27 @@ def stratified_sample(spark, sf_dir):
 def cheapest_items(spark, sf_dir):
     """The first 25 of each stratum"""
     return quality.first_of_each(view(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "event_id", "value"), "route", ("value", "event_id"), 25)
+
+
+# ---- hooks and functions for SQL --------------------------------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["markdown_parts"].replace("'](block' || region_id || '.png)'", "'](https://images/' || page_id || '/' || region_id || ')'"))
+def linked_images(spark, sf_dir):
+    """Markdown whose images have addresses that a caller makes"""
+    return parts(spark, sf_dir, lambda page, region: F.concat_ws("/", F.lit("https://images"), page.cast("string"), region.cast("string")))
+
+
+@query(ORACLES["table_cells"])
+def lateral_cells(spark, sf_dir):
+    """Cells of tables by a table function in SQL"""
+    tablefunctions.register(spark)
+    return spark.sql("select p_partkey, c.* from {tables} t, lateral table_cells(t.html) c", tables=html_tables(spark, sf_dir))
+
+
+@query("select p_partkey, 1 as row_, 1 as col, 'fcel' as kind, p_brand as text from part union all select p_partkey, 1, 2, 'lcel', '' from part union all select p_partkey, 2, 1, 'ecel', '' from part")
+def lateral_tokens(spark, sf_dir):
+    """Cells of structure tokens by a table function in SQL"""
+    tablefunctions.register(spark)
+    made = view(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<fcel>"), "p_brand", F.lit("<lcel><nl><ecel><nl>")).alias("tokens"))
+    return spark.sql("select p_partkey, c.* from {tables} t, lateral token_cells(t.tokens) c", tables=made)
