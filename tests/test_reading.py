@@ -262,6 +262,47 @@ def test_height_levels():
     assert max(assembly.height_levels([10, 20, 30, 40, 50, 60]).values()) == 4
 
 
+def test_heading_levels_against_plain_rules(spark):
+    """G18 with A17-A19 over the smallest data: heights by Lloyd's rounds, votes title by title."""
+    import re
+
+    from vellum.functions import text as t
+    from vellum.plans.stream_queries import titles
+
+    path = "/root/testdata/sf0.001"
+    docs = {}
+    for r in titles(spark, path).collect():
+        docs.setdefault(r["doc_id"], []).append((r["pos"], r["content"], r["height"]))
+    want = {}
+    for doc, rows in docs.items():
+        different = sorted({h for *_, h in rows})
+        k = min(4, len(different))
+        centres = [different[0]] if k == 1 else [different[int(j * (len(different) - 1) / (k - 1) + 0.5)] for j in range(k)]
+        for _ in range(100):
+            groups = {}
+            for *_, h in rows:
+                groups.setdefault(min((abs(h - c), j) for j, c in enumerate(centres))[1], []).append(h)
+            centres = [sum(groups[j]) / len(groups[j]) if j in groups else c for j, c in enumerate(centres)]
+        ranked = sorted(range(k), key=lambda j: -centres[j])
+        kinds, dotted = [], None
+        for pos, content, h in sorted(rows):
+            cluster = 1 + ranked.index(min((abs(h - c), j) for j, c in enumerate(centres))[1])
+            plain = content.strip(" \t\n\x0b\f\r")
+            kind, depth = next(((name, d) for name, pattern, d in t.NUMBERING if re.search(pattern, plain)), (None, None))
+            if kind is None:
+                level = 1 if re.sub("[:： ]+$", "", plain.upper()).replace(" ", "") in t.KEYWORDS else cluster
+            else:
+                kinds += [kind] * (kind not in kinds)
+                rank = kinds.index(kind) + 1
+                own = depth or len(re.match(r"[0-9]+(?:[.][0-9]+)*", plain)[0].split("."))
+                if kind == "NUM_LIST":
+                    dotted = own if dotted is None else dotted
+                    rank += own - dotted
+                level = own if own in (rank, cluster) else rank
+            want[doc, pos] = max(1, min(6, level))
+    assert {(r["doc_id"], r["pos"]): r["level"] for r in QUERIES["heading_levels"](spark, path).collect()} == want and len(set(want.values())) > 3
+
+
 def test_title_levels(spark):
     rows = [(1, 0, "1 Introduction", 1), (1, 1, "1.1 Motivation", 2), (1, 2, "1.2 Scope", 2), (1, 3, "2 Methods", 1), (2, 0, "References", 3), (3, 0, "Plain", 9)]
     found = assembly.title_levels(spark.createDataFrame(rows, "doc_id long, pos long, content string, cluster int")).orderBy("doc_id", "pos").collect()
