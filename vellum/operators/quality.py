@@ -28,10 +28,36 @@ def word_scores(pairs: DataFrame) -> DataFrame:
     return pairs.select("id").join(sums, "id", "left").select("id", *(F.when(wordless, 1.0).otherwise(x).alias(k) for k, x in scores.items()))
 
 
-def character_error(expected: Column, actual: Column, edits: Column | None = None) -> Column:
-    """Edits over the expected length; 0 for two empty texts, 1 for text where none was expected."""
-    edits = F.levenshtein(expected, actual) if edits is None else edits
-    return F.when(F.char_length(expected) == 0, F.when(F.char_length(actual) == 0, 0.0).otherwise(1.0)).otherwise(edits / F.char_length(expected))
+#: Code points of pairs of texts that a worker takes at a time.
+EDIT_POINTS = 8 << 20
+
+
+def with_edits(pairs: DataFrame, limit: int = EDIT_POINTS) -> DataFrame:
+    """(id, expected, actual) to (id, expected, actual, edits): the code points of both whole texts, and the edits that turn one into the other."""
+    rows = pairs.select("id", "expected", "actual", F.char_length("expected").alias("e"), F.char_length("actual").alias("a"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from vellum.functions.edits import edits
+
+        for batch in batches:
+            ends = np.cumsum(sum(batch.column(k).fill_null(0).to_numpy().astype(np.int64) for k in (3, 4)))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+                part = batch.slice(at, stop - at)
+                found = edits(part.column(1).to_pylist(), part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array(found, pa.int32())], ["id", "expected", "actual", "edits"])
+                at = stop
+
+    return rows.mapInArrow(run, f"id {pairs.schema['id'].dataType.simpleString()}, expected int, actual int, edits int")
+
+
+def character_error(expected: Column, actual: Column, edits: Column) -> Column:
+    """Edits over the expected length, of code points; 0 for two empty texts, 1 for text where none was expected."""
+    return F.when(expected == 0, F.when(actual == 0, 0.0).otherwise(1.0)).otherwise(edits / expected)
 
 
 def overall(edit: Column, teds: Column, cdm: Column) -> Column:

@@ -290,13 +290,12 @@ def word_scores(spark, sf_dir):
 @query()
 def character_errors(spark, sf_dir):
     """A row for every pair; the edits of A33 are over the longer text"""
-    e, a = F.col("expected"), F.col("actual")
     # Long texts take seconds a pair, so pairs are dealt anew, to a number of tasks that is kept however small they are.
-    p = pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("edits", F.levenshtein(e, a))
-    longer = F.greatest(F.char_length(e), F.char_length(a))
-    edit = F.when(longer == 0, 0.0).otherwise(F.col("edits") / longer)
-    cer = quality.character_error(e, a, F.col("edits"))
-    return p.select("id", cer.alias("cer"), quality.overall(edit, F.lit(0.5), F.lit(0.25)).alias("overall"), (F.char_length(a) / F.nullif(F.char_length(e), F.lit(0))).alias("ratio"))
+    p = quality.with_edits(pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
+    e, a, edits = F.col("expected"), F.col("actual"), F.col("edits")
+    longer = F.greatest(e, a)
+    edit = F.when(longer == 0, 0.0).otherwise(edits / longer)
+    return p.select("id", quality.character_error(e, a, edits).alias("cer"), quality.overall(edit, F.lit(0.5), F.lit(0.25)).alias("overall"), (a / F.nullif(e, F.lit(0))).alias("ratio"))
 
 
 @query(_SCORES + " select p.lang, p.source, count(*) as n, avg(f1) as mean from pr p join sc using (id) group by grouping sets ((lang), (source), ())")
