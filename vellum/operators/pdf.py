@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry as g
 from vellum.functions import text as t
 
 
@@ -21,11 +20,63 @@ def lines_of(characters: DataFrame) -> DataFrame:
     return lines.where("text <> ''")
 
 
-def text_in_boxes(characters: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Text of the characters whose centres lie in a box, in their order."""
-    b = boxes.select("doc_id", "box_id", *(F.col(k).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")))
-    inside = characters.join(b, "doc_id").where(g.centre_inside(g.box(), g.box("b_")))
-    return inside.groupBy("doc_id", "box_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ch"))), lambda e: e["ch"]), "").alias("text"))
+def text_in_boxes(layers: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Text of the characters whose centres lie in a box, in their order. Boxes with none have no row.
+
+    Layers (doc_id, text, x0, y0, x1, y1) have the text of a page and, in arrays, the box of each of its code points: a page is a row, and its characters are not
+    sent as rows. Pages and boxes (doc_id, box_id, x0, y0, x1, y1) are dealt out once and read page by page, a page's boxes first. Layers of one page are put
+    together by the places of their characters.
+    """
+    sides = ("x0", "y0", "x1", "y1")
+    b = boxes.dropna(subset=["doc_id", *sides]).select("doc_id", "box_id", *(F.col(k).alias(f"b_{k}") for k in sides))
+    pages = layers.where("doc_id is not null and text <> ''").select("doc_id", "text", *sides)
+    parts = int(layers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = b.unionByName(pages, allowMissingColumns=True).select("doc_id", "box_id", *(f"b_{k}" for k in sides), "text", *sides).repartition(parts, "doc_id").sortWithinPartitions("doc_id", F.col("text").isNotNull())
+
+    def read(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def doubled(low, high):
+            """Twice the centre. Nulls come as NaN, which lies in no box."""
+            return np.add(*(x.astype(np.int64) if x.dtype.kind == "i" else x for x in (low, high)))
+
+        def found(own, texts):
+            """Of a page: each box with the text in it."""
+            points = [np.frombuffer(text.encode("utf-32-le"), "<u4") for text, *_ in texts]
+            x, y = (np.concatenate([doubled(t[k], t[k + 2]) for t in texts]) for k in (1, 2))
+            letters = np.concatenate(points)
+            if len(texts) > 1:
+                order = np.lexsort((letters, np.concatenate([np.arange(len(p)) for p in points])))
+                letters, x, y = letters[order], x[order], y[order]
+            for key, corners in own.items():
+                places = [np.flatnonzero((x >= 2 * x0) & (x <= 2 * x1) & (y >= 2 * y0) & (y <= 2 * y1)) for x0, y0, x1, y1 in corners]
+                at = places[0] if len(places) == 1 else np.sort(np.concatenate(places))
+                if len(at):
+                    yield key, letters[at].tobytes().decode("utf-32-le")
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((ids, keys, pa.string()))], ["doc_id", "box_id", "text"])
+
+        doc, own, texts, ids, keys = None, {}, [], None, None
+        for batch in batches:
+            ids, keys, rows = batch.schema.field(0).type, batch.schema.field(1).type, []
+            arrays = [(a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False)) for a in (batch.column(k) for k in range(7, 11))]
+            for i, (d, key, *corners, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)))):
+                if d != doc:
+                    if own and texts:
+                        rows += ((doc, *r) for r in found(own, texts))
+                    doc, own, texts = d, {}, []
+                if text is None:
+                    own.setdefault(key, []).append(corners)
+                elif own:
+                    texts.append((text, *(values[offsets[i] : offsets[i + 1]] for offsets, values in arrays)))
+            yield batch_of(rows)
+        if own and texts:
+            yield batch_of([(doc, *r) for r in found(own, texts)])
+
+    kinds = layers.schema["doc_id"].dataType.simpleString(), boxes.schema["box_id"].dataType.simpleString()
+    return dealt.mapInArrow(read, f"doc_id {kinds[0]}, box_id {kinds[1]}, text string")
 
 
 def layer_quality(chars: Column, rotation: Column, replaced: Column, controls: Column, lines: Column) -> Column:
