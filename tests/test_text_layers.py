@@ -46,3 +46,13 @@ def test_text_in_boxes_sends_pages(spark, tmp_path):
     text = "漢字 😀 " + "long text " * 300 + "\n\ttail  \r\n"
     inside = lambda x0, y0, x1, y1: "".join(ch for i, ch in enumerate(text) if 2 * x0 <= i % 60 * 10 + 5 <= 2 * x1 and 2 * y0 <= i // 60 * 24 + 10 <= 2 * y1)
     assert sorted(tuple(r) for r in found.collect() if r["doc_id"] == 10) == [(10, 0, inside(10, 0, 150, 30)), (10, 1, inside(100, 10, 300, 60))]
+
+
+def test_verified_results_send_pages(spark, tmp_path):
+    found = QUERIES["verified_results"](spark, conversations(spark, tmp_path))
+    assert sent_by_page(found)
+    rows = {(r["doc_id"], r["box_id"]): (r["text"], r["source"]) for r in found.collect()}
+    text, seen = "漢字 😀 " + "long text " * 300, ("seen", "ocr")
+    native = {(10, 0): "".join(text[k * 60 + 2 : k * 60 + 30] for k in range(3)), (10, 1): "".join(text[k * 60 + 20 : k * 60 + 60] for k in range(1, 5)), (11, 0): "tail  \r\n"}
+    # Pages without text, and those without a number, keep what was seen.
+    assert rows == {(doc, box): (native[doc, box], "pdf") if (doc, box) in native else seen for doc in (10, 11, 20, None) for box in range(3)}
