@@ -151,13 +151,17 @@ def characters(spark, sf_dir):
     return c.select("doc_id", "idx", "ch", (F.col("idx") % 60 * 5).alias("x0"), (F.floor(F.col("idx") / 60) * 12).cast("int").alias("y0"), (F.col("idx") % 60 * 5 + 5).alias("x1"), (F.floor(F.col("idx") / 60) * 12 + 10).cast("int").alias("y1"))
 
 
+#: Code points in a piece of a page: whole rows of sixty.
+PIECE = 6000
+
+
 def layers(spark, sf_dir):
-    """The same characters with the same boxes, a page to a row."""
-    n = F.char_length("text")
+    """The same characters with the same boxes, a page to a row, or a piece of a long page."""
+    n, first = F.char_length("text"), F.floor(F.col("start") / 60).cast("int")
     rows = F.floor(n / 60).cast("int") + 1
     across = lambda x: F.slice(F.flatten(F.array_repeat(F.array(*(F.lit(k * 5 + x) for k in range(60))), rows)), 1, n)
-    down = lambda y: F.slice(F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.array_repeat(r * 12 + y, 60))), 1, n)
-    return page_texts(spark, sf_dir).where("text is not null").select("doc_id", "text", across(0).alias("x0"), down(0).alias("y0"), across(5).alias("x1"), down(10).alias("y1"))
+    down = lambda y: F.slice(F.flatten(F.transform(F.sequence(first, first + rows - 1), lambda r: F.array_repeat(r * 12 + y, 60))), 1, n)
+    return pdf.in_pieces(page_texts(spark, sf_dir), PIECE).select("doc_id", "start", "text", across(0).alias("x0"), down(0).alias("y0"), across(5).alias("x1"), down(10).alias("y1"))
 
 
 _CHARS = r"""with d as (select conv_id * 10 + turn as doc_id, text || chr(10) || chr(9) || 'tail  ' || chr(13) || chr(10) as text from conversations), ch as materialized (select doc_id, i as idx, substr(text, i + 1, 1) as ch, i % 60 * 5 as x0, i // 60 * 12 as y0, i % 60 * 5 + 5 as x1, i // 60 * 12 + 10 as y1
